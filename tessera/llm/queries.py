@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import urlfilter, warc
-from tessera.llm.common import read_table
+import public_tokenizers
+
+from tessera.llm import audio, bpe, langid, urlfilter, warc
+from tessera.llm.common import fold, read_table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +69,34 @@ SELECT page_id, host, path, rule,
 FROM b
 """
 
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled texts outside fold 0 of 5, predicts every text; a narrow
+    margin is reported in ``rejected``, the prediction stays."""
+    docs = read_table(spark, sf_dir, "documents")
+    train = docs.where(fold("doc_id", 5) != 0).select("text", "lang")
+    out = langid.identify_languages(docs.select("doc_id", "text"), train)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "margin", "rejected")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the bytes that they decode to, as digests."""
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an 8-bit WAV clip, read back, with the digest of its features."""
+    out = audio.audio_features(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op7_url_filter": op7_url_filter,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_audio": op9_audio,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filter": OP7_SQL}
