@@ -76,9 +76,9 @@ class Packer:
         return sum(len(self.tool.compress(view[i : i + block])) for i in range(0, len(view), block))
 
 
-def predict_languages(df: DataFrame, samples: dict[str, bytes], id_column: str = "doc_id", text: str = "text", block: int = 2048, context_bytes: int = 1500, min_margin: float = 0.01) -> DataFrame:
+def predict_languages(df: DataFrame, samples: dict[str, bytes], id_column: str = "doc_id", text: str = "text", block: int = 2048, context_bytes: int = 1500, min_margin: float = 0.01, min_score: float = 0.2) -> DataFrame:
     """The id and, for each row: ``lang_best``, ``margin`` (by how much of its size the
-    second is larger), ``score`` (0 to 1), ``rejected`` and ``lang_pred`` (``und`` if rejected)."""
+    second is larger), ``score`` (0 to 1, by the bytes between the two), ``rejected`` and ``lang_pred`` (``und`` if rejected)."""
     names = list(samples)
     id_type = df.schema[id_column].dataType.simpleString()
 
@@ -99,8 +99,9 @@ def predict_languages(df: DataFrame, samples: dict[str, bytes], id_column: str =
                 margin = float(sizes[order[1]] / first - 1) if len(order) > 1 else 1.0
                 best.append(names[order[0]])
                 margins.append(margin)
-                scores.append(float(1 - np.exp(-20 * margin)))
-            narrow = [b is None or m < min_margin for b, m in zip(best, margins, strict=True)]
+                gain = float(sizes[order[1]] - first) if len(order) > 1 else float(len(data))
+                scores.append(float(1 - np.exp(-gain / 8)))
+            narrow = [b is None or m < min_margin or s < min_score for b, m, s in zip(best, margins, scores, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(["und" if r else b for b, r in zip(best, narrow, strict=True)], pa.string()), pa.array([b or "und" for b in best], pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(narrow, pa.bool_())],
                 [id_column, "lang_pred", "lang_best", "score", "margin", "rejected"],

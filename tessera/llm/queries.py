@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import audio, bpe, langid, urlfilter, warc
+from tessera.llm import audio, bpe, langid, ordinal, quality_rules, urlfilter, warc
 from tessera.llm.common import fold, read_table
 
 
@@ -80,6 +80,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "margin", "rejected")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text."""
+    return quality_rules.repetition_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits on labelled documents outside fold 0 of 5, grades every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = ordinal.graded(docs.where(fold("doc_id", 5) != 0), read_table(spark, sf_dir, "labels"))
+    out = ordinal.grade_texts(docs, ordinal.fit_classifier(train))
+    return out.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     docs = read_table(spark, sf_dir, "documents")
@@ -95,8 +108,10 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_audio": op9_audio,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filter": OP7_SQL}
