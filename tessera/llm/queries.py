@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import audio, bpe, langid, ordinal, quality_rules, urlfilter, warc
+from tessera.llm import audio, bpe, langid, ordinal, quality_rules, simhash, urlfilter, warc
 from tessera.llm.common import fold, read_table
 
 
@@ -93,6 +93,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and the components of links within 4 bits."""
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     docs = read_table(spark, sf_dir, "documents")
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_audio": op9_audio,
