@@ -72,6 +72,9 @@ def row_ranges(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def as_struct(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with the given columns, each replacing one of the same name."""
-    return df.withColumns(columns)
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cut lineage, columnar and compressed."""
+    spark = df.sparkSession
+    where = work_path(spark, what)
+    df.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import audio, bpe, langid, ordinal, quality_rules, simhash, urlfilter, warc
+from tessera.llm import audio, bpe, brown_lm, langid, ordinal, quality_rules, simhash, urlfilter, warc
 from tessera.llm.common import fold, read_table
 
 
@@ -98,6 +98,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the texts outside fold 2 of 7, scores every text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown_lm.train(docs.where(fold("doc_id", 7) != 2))
+    out = brown_lm.score_texts(docs, model)
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     docs = read_table(spark, sf_dir, "documents")
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_brown_lm": op6_brown_lm,
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_audio": op9_audio,
