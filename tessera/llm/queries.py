@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import audio, bpe, brown_lm, langid, ordinal, quality_rules, simhash, urlfilter, warc
+from tessera.llm import audio, bpe, brown_lm, langid, ordinal, packing, quality_rules, simhash, urlfilter, warc
 from tessera.llm.common import fold, read_table
 
 
@@ -80,6 +80,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "margin", "rejected")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in sequences of 1024 tokens."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every text."""
     return quality_rules.repetition_rules(read_table(spark, sf_dir, "documents"))
@@ -121,6 +127,7 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_brown_lm": op6_brown_lm,
