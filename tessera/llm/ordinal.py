@@ -94,15 +94,20 @@ def feature_rows(df: DataFrame, text: str, grade: str) -> DataFrame:
     return df.select(F.col(grade).cast("double").alias("grade"), text).mapInArrow(kernel, "grade double, buckets array<int>")
 
 
-def training_sample(train: DataFrame, id_column: str, text: str, grade: str, per_grade: int, max_chars: int, max_grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[float, int]]:
-    """Grades, row cuts and buckets of the sample, and how many rows each grade has in all."""
-    usable = train.where(F.col(text).isNotNull() & F.col(grade).isNotNull())
-    counts = {float(g): n for g, n in usable.groupBy(F.col(grade).cast("double")).count().orderBy(F.desc("count")).limit(max_grades).collect()}
+def training_sample(docs: DataFrame, marks: DataFrame, id_column: str, text: str, grade: str, per_grade: int, max_chars: int, max_grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[float, int]]:
+    """Grades, row cuts and buckets of the sample, and how many rows each grade has in all.
+
+    The ids are chosen among the marks, so the sample that is broadcast has at most
+    ``2 * per_grade * max_grades`` rows of an id and a grade, and no text is shuffled."""
+    marks = marks.where(F.col(grade).isNotNull()).select(F.col(id_column).alias("__id"), F.col(grade).cast("double").alias("__grade"))
+    counts = dict(marks.groupBy("__grade").count().orderBy(F.desc("count"), "__grade").limit(max_grades).collect())
     share = F.lit(0.0)
     for g, n in counts.items():
-        share = F.when(F.col(grade).cast("double") == g, F.lit(min(1.0, per_grade / n))).otherwise(share)
-    chosen = usable.where((F.length(text) <= max_chars) & (F.pmod(F.xxhash64(F.col(id_column), F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)))
-    rows = feature_rows(chosen, text, grade).limit(2 * per_grade * len(counts) + 1).toArrow()
+        share = F.when(F.col("__grade") == g, F.lit(min(1.0, per_grade / n))).otherwise(share)
+    bound = 2 * per_grade * max(1, len(counts))
+    chosen = marks.where(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).limit(bound)
+    texts = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(id_column).alias("__key"), F.col(text).alias("__text"))
+    rows = feature_rows(texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")), "__text", "__grade").limit(bound).toArrow()
     lists = rows["buckets"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -137,7 +142,7 @@ def fit(y: np.ndarray, cuts: np.ndarray, buckets: np.ndarray, counts: dict[float
     some = keep[buckets]
     rows, cols = rows[some], number[buckets[some]]
     seen = np.bincount(level, minlength=len(grades))
-    total = np.array([counts[g] for g in grades], dtype=np.float64)
+    total = np.array([max(counts.get(g, 0), 1) for g in grades], dtype=np.float64)
     share = total / total.sum()
     cost = (share / seen)[level]
     below = np.cumsum(share)[:-1]
@@ -164,9 +169,9 @@ def fit(y: np.ndarray, cuts: np.ndarray, buckets: np.ndarray, counts: dict[float
     return Model(grades, theta, weights)
 
 
-def fit_classifier(train: DataFrame, id_column: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2500, max_chars: int = 40_000, max_grades: int = 16, **options: float) -> Model:
-    """A model of the graded rows of ``train``."""
-    y, cuts, buckets, counts = training_sample(train, id_column, text, grade, per_grade, max_chars, max_grades)
+def fit_classifier(docs: DataFrame, marks: DataFrame, id_column: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2500, max_chars: int = 40_000, max_grades: int = 16, **options: float) -> Model:
+    """A model of the rows of ``docs`` that ``marks`` (id, grade; one row for each id) grades."""
+    y, cuts, buckets, counts = training_sample(docs, marks, id_column, text, grade, per_grade, max_chars, max_grades)
     return fit(y, cuts, buckets, counts, **options)
 
 
@@ -201,11 +206,10 @@ def grade_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text: st
     return df.select(id_column, text).mapInArrow(kernel, schema)
 
 
-def graded(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents with a grade: 0 toxic, 1 of low quality, 2 good; without one where a label is null.
+def grades_of(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Ids and grades: 0 toxic, 1 of low quality, 2 good; none where a label is null.
 
     One row for each id: labels that repeat count with their lowest grade."""
     toxic, quality = F.col("toxic"), F.col("quality")
     grade = F.when(toxic == 1, 0).when(toxic.isNull(), None).when(quality == 0, 1).when(quality == 1, 2)
-    marks = labels.select(F.col(id_column), grade.alias("grade")).where("grade is not null").groupBy(id_column).agg(F.min("grade").alias("grade"))
-    return docs.select(id_column, "text").join(marks, id_column)
+    return labels.select(F.col(id_column), grade.alias("grade")).where("grade is not null").groupBy(id_column).agg(F.min("grade").alias("grade"))

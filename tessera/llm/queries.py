@@ -94,8 +94,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits on labelled documents outside fold 0 of 5, grades every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = ordinal.graded(docs.where(fold("doc_id", 5) != 0), read_table(spark, sf_dir, "labels"))
-    out = ordinal.grade_texts(docs, ordinal.fit_classifier(train))
+    marks = ordinal.grades_of(read_table(spark, sf_dir, "labels")).where(fold("doc_id", 5) != 0)
+    out = ordinal.grade_texts(docs, ordinal.fit_classifier(docs, marks))
     return out.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
