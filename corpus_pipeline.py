@@ -1,13 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns what
+it keeps; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import ordinal, packing, quality_rules, simhash
+from tessera.llm.common import read_table, work_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the best grade is at least one half."""
+    marks = ordinal.grades_of(read_table(spark, sf_dir, "labels"))
+    return ordinal.keep_texts(docs, ordinal.fit_classifier(docs, marks))
+
+
+def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_texts(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", repetition),
+    ("simhash_near_dedup", near_duplicates),
+    ("best_fit_packing", best_fit),
+]
+
+#: SQL can express neither the classifier nor the fingerprints; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order."""
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        where = work_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(where)
+        docs = spark.read.parquet(where)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +78,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     where = work_path(spark, what)
     df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def keep_rows(df: DataFrame, text: str, start: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], limit: int) -> DataFrame:
+    """The rows of ``df`` that pass, with all their columns.
+
+    ``start()`` gives a task's test: from the bytes and offsets of a group of texts,
+    of about ``limit`` bytes, whether each passes."""
+    place = df.columns.index(text)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = start()
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(place))
+            masks = [test(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_ranges(offsets, limit)]
+            if masks:
+                yield batch.filter(pa.array(np.concatenate(masks)))
+
+    return df.mapInArrow(kernel, df.schema)

@@ -18,7 +18,7 @@ sample every row gets the same prediction; repeated rows count as often as they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_ranges, text_bytes
+from tessera.llm.common import keep_rows, row_ranges, text_bytes
 from tessera.llm.quality_rules import BLANK, GROUP_BYTES, mix, occurrences, running_hash, span_hash
 
 BITS = 18
@@ -206,6 +206,25 @@ def grade_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text: st
     return df.select(id_column, text).mapInArrow(kernel, schema)
 
 
+def keep_texts(df: DataFrame, model: Model, text: str = "text", least_grade: float | None = None, least_probability: float = 0.5) -> DataFrame:
+    """The rows that :func:`grade_texts` selects, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    wanted_grade = len(model.grades) - 1 if least_grade is None else int(np.searchsorted(model.grades, least_grade))
+
+    def start() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        m = shared.value
+        used = m.weights != 0
+
+        def test(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            texts, buckets = hashed_features(raw, offsets, used)
+            eta = np.bincount(texts, weights=m.weights[buckets], minlength=len(offsets) - 1)
+            return probabilities(m, eta)[:, wanted_grade] >= least_probability
+
+        return test
+
+    return keep_rows(df, text, start, GROUP_BYTES)
+
+
 def grades_of(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Ids and grades: 0 toxic, 1 of low quality, 2 good; none where a label is null.
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import row_ranges, text_bytes
+from tessera.llm.common import keep_rows, row_ranges, text_bytes
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 1 << 21
@@ -199,3 +199,10 @@ def repetition_rules(df: DataFrame, id_column: str = "doc_id", text: str = "text
 
     schema = f"{id_column} {df.schema[id_column].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean"
     return df.select(id_column, text).mapInArrow(kernel, schema)
+
+
+def keep_texts(df: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
+    """The rows that :func:`repetition_rules` keeps, with all their columns."""
+    limits = limits or Limits()
+    ngrams = tuple(sorted(limits.ngrams))
+    return keep_rows(df, text, lambda: lambda raw, offsets: judge(measure(raw, offsets, ngrams), limits)[1], GROUP_BYTES)

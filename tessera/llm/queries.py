@@ -101,7 +101,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles and the components of links within 4 bits."""
-    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, size=1, max_bits=4)
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
