@@ -108,7 +108,7 @@ def token_pieces(df: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encode()
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             rows: list[int] = []
             columns: tuple[list[int], ...] = ([], [], [], [])
             for k, t in enumerate(batch.column(1).to_pylist()):

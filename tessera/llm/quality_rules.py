@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import keep_rows, row_ranges, text_bytes
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 SYMBOL = np.zeros(256, dtype=bool)

@@ -68,8 +68,10 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", w
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, words, size).astype(">u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], [id_column, "fp"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                fps = [fingerprint(t, words, size).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], [id_column, "fp"])
 
     return df.select(id_column, text).mapInArrow(kernel, f"{id_column} {df.schema[id_column].dataType.simpleString()}, fp binary")
 
