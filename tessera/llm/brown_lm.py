@@ -97,6 +97,26 @@ def word_counts(texts: DataFrame, text: str, most: int = 400_000) -> DataFrame:
     return texts.select(text).mapInArrow(kernel, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``most`` words by falling count, and their counts.
+
+    A histogram of the counts' logarithms, in sixteenths, tells from which count on the
+    words are few enough; those are fetched, and no task has to sort more."""
+    level = F.floor(F.log2("c") * 16)
+    words = counts.where(F.length("word") > 0)
+    total, least = 0, None
+    for at, n in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return [], np.empty(0, np.int64)
+    rows = words.where(level >= least).toArrow()
+    pairs = sorted(zip(rows["c"].to_pylist(), rows["word"].to_pylist(), strict=True), key=lambda p: (-p[0], p[1]))
+    return [w for _, w in pairs], np.array([c for c, _ in pairs], dtype=np.int64)
+
+
 def cluster_bigrams(texts: DataFrame, text: str, words: list[bytes]) -> np.ndarray:
     """Bigram counts between ``words`` (the end first, also as what comes before a text) and all others together.
 
@@ -195,10 +215,9 @@ def train(texts: DataFrame, text: str = "text", cluster_words: int = 800, classe
     """A model of all rows of ``texts``."""
     counts = stored(word_counts(texts, text), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(frequent_words).toArrow()
+    words, known = most_frequent(counts, frequent_words)
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words = [END, *top["word"].to_pylist()]
-    known = np.concatenate(([ends], top["c"].to_numpy())).astype(np.float64)
+    words, known = [END, *words], np.concatenate(([ends], known)).astype(np.float64)
     m = min(cluster_words + 1, len(words))
     bigrams = cluster_bigrams(texts, text, words[:m])
     classes = max(1, min(classes, m - 1))
