@@ -52,7 +52,7 @@ def write_csv(df: DataFrame, path: str, separator: str = ", ", single_file: bool
 def fixed_width_lines(df: DataFrame, decimals: int = 2) -> DataFrame:
     """Right-aligned fixed-width lines, column widths over all rows: ``line`` text, in no order."""
     cells = {f.name: F.format_string(f"%.{decimals}f", F.col(f.name).cast("double")) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string") for f in df.schema}
-    text = df.select([F.coalesce(c, F.lit("None")).alias(n) for n, c in cells.items()])
+    text = df.select([F.coalesce(F.when(F.col(n).isNotNull(), c), F.lit("None")).alias(n) for n, c in cells.items()])
     widths = text.agg(*[F.max(F.length(c)).alias(c) for c in text.columns]).first()
     wide = {c: max(len(c), widths[c] or 0) for c in text.columns}
     return text.select(F.concat_ws(" ", *[F.lpad(F.col(c), wide[c], " ") for c in text.columns]).alias("line"))
