@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A materialised table of few narrow columns: marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fold(id_column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import broadcast_if_small, cut
 from tessera.llm.components import connected_components, spanning_edges
 from tessera.llm.quality_rules import mix
 
@@ -156,22 +156,20 @@ def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(rows), part.column(1).take(rows)], ["key", "fp", "node"])
 
     postings = nodes.select("fp", "node").mapInArrow(post, "key long, fp binary, node long")
-    keys = nodes.select("fp", "node").mapInArrow(post, "key long, fp binary, node long").select("key")
-    long_lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    joined = postings.join(long_lists, F.col("key") == F.col("long_key"), "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = joined.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-    spread = spread.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "fp", "node")
-    dealt = spread.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+    long_lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / block).alias("blocks")))
+    joined = postings.join(broadcast_if_small(long_lists), F.col("key") == F.col("long_key"), "left")
+    own = F.coalesce(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")), F.lit(0))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = joined.withColumn("own", own).withColumn("other", other)
+    # a list's number: the key, and in long lists the pair of blocks
+    number = F.shiftleft("key", 34) + F.shiftleft(F.least("own", "other"), 17) + F.greatest("own", "other")
+    dealt = spread.select(number.alias("list"), "fp", "node").repartition("list").sortWithinPartitions("list")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            run = np.zeros(len(columns[0]), dtype=np.int64)
-            run[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
-            links = partition_links(np.cumsum(run), columns[3], columns[4], minimum, max_bits)
+            links = partition_links(*columns, minimum, max_bits)
             u = np.concatenate([a for a, _ in links]) if links else np.empty(0, np.int64)
             v = np.concatenate([b for _, b in links]) if links else np.empty(0, np.int64)
             if len(u):
@@ -179,14 +177,13 @@ def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(3)] + [packed(batch.column(3), size), batch.column(4).to_numpy()]
+            columns = [batch.column(0).to_numpy(), packed(batch.column(1), size), batch.column(2).to_numpy()]
             if rest is not None:
                 columns = [np.concatenate((a, b)) for a, b in zip(rest, columns, strict=True)]
             if not len(columns[0]):
                 continue
             # a list that may go on in the next batch waits for it
-            changed = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1]))
-            last = int(changed[-1]) + 1 if len(changed) else 0
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
             if last:
                 yield found([c[:last] for c in columns])
             rest = [c[last:] for c in columns]
@@ -227,6 +224,7 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows whose id is the least of its group, with all their columns; rows without an id stay."""
-    groups = simhash_groups(df, id_column, text, **options).where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__copy"))
-    return df.join(groups, F.col(id_column) == F.col("__copy"), "left_anti")
+    """The rows whose id is the least of its group, with all their columns; rows without an id stay, and
+    rows that repeat an id share its decision."""
+    copies = simhash_groups(df, id_column, text, **options).where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__copy"))
+    return df.join(broadcast_if_small(cut(copies.distinct())), F.col(id_column) == F.col("__copy"), "left_anti")
