@@ -230,7 +230,7 @@ def train(texts: DataFrame, text: str = "text", cluster_words: int = 800, classe
     transition = (grid + alpha * share[None, :]) / (grid.sum(axis=1, keepdims=True) + alpha)
     class_counts = np.bincount(cls[:m], weights=known[:m], minlength=k)
     rest_total = int(total - known[:m].sum())
-    return Model(counts, int(total), int(distinct), words, known, m, cls, np.log10(transition), class_counts, rest_total, int(distinct - m), discount)
+    return Model(counts, int(total), int(distinct), words, known, m, cls, np.log10(transition), class_counts, rest_total, int(distinct - (known[:m] > 0).sum()), discount)
 
 
 def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
