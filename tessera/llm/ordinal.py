@@ -196,7 +196,7 @@ def grade_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text: st
             raw, offsets = text_bytes(batch.column(1))
             for a, b in row_ranges(offsets, GROUP_BYTES):
                 texts, buckets = hashed_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], used)
-                eta = np.bincount(texts, weights=m.weights[buckets], minlength=b - a)
+                eta = np.bincount(texts, weights=m.weights[buckets], minlength=b - a).astype(np.float64)
                 tail = probabilities(m, eta)
                 expected = m.grades[0] + tail[:, 1:] @ steps
                 reach = tail[:, wanted_grade]
@@ -217,7 +217,7 @@ def keep_texts(df: DataFrame, model: Model, text: str = "text", least_grade: flo
 
         def test(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             texts, buckets = hashed_features(raw, offsets, used)
-            eta = np.bincount(texts, weights=m.weights[buckets], minlength=len(offsets) - 1)
+            eta = np.bincount(texts, weights=m.weights[buckets], minlength=len(offsets) - 1).astype(np.float64)
             return probabilities(m, eta)[:, wanted_grade] >= least_probability
 
         return test
