@@ -185,3 +185,8 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
 
     odd = F.aggregate(_steps(ring, crossing), F.lit(0), lambda a, v: a + v) % 2 == 1
     return (F.size(ring) > 3) & odd & ~F.exists(_steps(ring, touches), lambda t: t)
+
+
+def point_in_list(x: Column, y: Column, points: Column, eps: float = 1e-8) -> Column:
+    """Whether a point of an array is at (x, y)."""
+    return F.exists(points, lambda p: (F.abs(p["x"] - x) <= eps) & (F.abs(p["y"] - y) <= eps))

@@ -105,6 +105,16 @@ def split_by_sector(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.select(key, "ring").mapInPandas(run, f"{key} {kind}, {VERTEX}")
 
 
+def clip_polygons(df: DataFrame, key: str, left: float, bottom: float, right: float, top: float) -> DataFrame:
+    """Vertex rows of what each polygon has inside an extent."""
+
+    def part(r: np.ndarray) -> list[np.ndarray]:
+        clipped = kernels.clip_box(r, left, bottom, right, top)
+        return [clipped] if len(clipped) else []
+
+    return _per_ring(df, key, part)
+
+
 def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
     """Delaunay triangles of each polygon's vertices whose centroid lies inside the polygon."""
 

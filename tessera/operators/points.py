@@ -89,6 +89,14 @@ def near_table(points: DataFrame, k: int = 1, other: DataFrame | None = None) ->
     return near.select(F.col("id").alias("Orig"), F.col("id2").alias("Dest"), F.col("x").alias("X_orig"), F.col("y").alias("Y_orig"), F.col("x2").alias("X_dest"), F.col("y2").alias("Y_dest"), F.col("d").alias("OD_dist"), azimuth.alias("Azim_N"))
 
 
+def near_table_wide(points: DataFrame, k: int = 1) -> DataFrame:
+    """One row for each distinct point in (x, y) order: ``X_0, Y_0`` its own, ``X_i, Y_i`` and ``d_i`` of its i-th nearest."""
+    wide = nearest_wide(points.groupBy("x", "y").agg(F.min("id").alias("id")), k)
+    names = {"Xo": "X_0", "Yo": "Y_0"} | {f"C{i}_{c}": f"{c}_{i + 1}" for i in range(k) for c in "XY"} | {f"Dist{i}": f"d_{i + 1}" for i in range(k)}
+    order = ["ID", *[f"{c}_{i}" for i in range(k + 1) for c in "XY"], *[f"d_{i + 1}" for i in range(k)]]
+    return wide.withColumnsRenamed(names).select(*order)
+
+
 def connect_nearest(points: DataFrame, k: int = 1) -> DataFrame:
     """Lines from each point to its k nearest: ends in (x, y) order, each undirected line once."""
     near = nearest(points, points, k, exclude_same=True)

@@ -226,3 +226,17 @@ def distance_to_previous(df: DataFrame, order: list[str], x: str = "x", y: str =
     if partition_by:
         return rows.withColumn("cumu_dist", F.sum("dist").over(_window(order, partition_by).rowsBetween(Window.unboundedPreceding, 0)))
     return chain.next(rows).with_sum("cumu_dist", F.col("dist")).df.drop(BLOCK)
+
+
+def focal_window(cells: DataFrame, height: int, width: int, aggregate: Column, row: str = "row", col: str = "col", value: str = "value", step: tuple[int, int] = (1, 1)) -> DataFrame:
+    """``aggregate`` of ``value`` over each whole window of ``height`` x ``width`` cells; no padding at the edges.
+
+    ``row`` and ``col`` are the window's upper left cell, every ``step``-th from 0. Each cell
+    goes to the windows that hold it, so partial aggregates are made before the exchange."""
+    up = F.explode(F.sequence(F.lit(0), F.lit(height - 1)))
+    left = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
+    spread = cells.select(row, col, value, up.alias("__u")).select("*", left.alias("__l"))
+    at = spread.select((F.col(row) - F.col("__u")).alias("__r"), (F.col(col) - F.col("__l")).alias("__c"), value)
+    starts = at.where((F.col("__r") >= 0) & (F.col("__c") >= 0) & (F.col("__r") % step[0] == 0) & (F.col("__c") % step[1] == 0))
+    out = starts.groupBy("__r", "__c").agg(aggregate.alias("focal"), F.count(F.lit(1)).alias("__n"))
+    return out.where(F.col("__n") == height * width).select(F.col("__r").alias("row"), F.col("__c").alias("col"), "focal")

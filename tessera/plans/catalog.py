@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, planar, text
+from tessera.functions import dates, planar, registry, text
 from tessera.operators import grouped, points, shapes, tables, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,9 +115,9 @@ def mean_center(spark, sf_dir):
     return rounded(tables.mean_center(xy(spark, sf_dir), ["grp"]))
 
 
-@query("""SELECT CAST(bin AS INT) AS bin, count(*) AS "Count" FROM (SELECT CASE WHEN p_retailprice < 1000 THEN 0 WHEN p_retailprice < 1400 THEN 1 WHEN p_retailprice < 1800 THEN 2 ELSE 3 END AS bin FROM part WHERE p_retailprice BETWEEN 0 AND 1e9) GROUP BY 1""")
+@query("""SELECT CAST(bin AS INT) AS bin, count(*) AS "Count" FROM (SELECT CASE WHEN p_retailprice < 920 THEN 0 WHEN p_retailprice < 950 THEN 1 WHEN p_retailprice < 980 THEN 2 ELSE 3 END AS bin FROM part WHERE p_retailprice BETWEEN 0 AND 1e9) GROUP BY 1""")
 def histogram(spark, sf_dir):
-    return tables.histogram(table(spark, sf_dir, "part"), "p_retailprice", [0, 1000, 1400, 1800, 1e9])
+    return tables.histogram(table(spark, sf_dir, "part"), "p_retailprice", [0, 920, 950, 980, 1e9])
 
 
 @query("""SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
@@ -267,6 +267,13 @@ SELECT event_id, CASE WHEN n > 2 AND n <= (SELECT max(n) FROM n) - 2 THEN CAST(v
 )
 
 
+@query("""WITH c AS (SELECT c_nationkey AS r, c_custkey % 7 AS c, sum(c_acctbal) AS v FROM customer GROUP BY 1, 2)
+SELECT a.r AS row, a.c AS col, round(avg(b.v), 4) AS focal FROM c a JOIN c b ON b.r BETWEEN a.r AND a.r + 2 AND b.c BETWEEN a.c AND a.c + 2 GROUP BY 1, 2 HAVING count(*) = 9""")
+def focal_mean(spark, sf_dir):
+    cells = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("row"), (F.col("c_custkey") % 7).alias("col")).agg(F.sum("c_acctbal").alias("value"))
+    return rounded(windows.focal_window(cells, 3, 3, F.avg("value")), 4)
+
+
 @query("""WITH m AS (SELECT avg(p_retailprice) AS m FROM part), h AS (SELECT avg(p_retailprice) AS h FROM part, m WHERE p_retailprice > m), l AS (SELECT avg(p_retailprice) AS l FROM part, m WHERE p_retailprice <= m),
 h2 AS (SELECT avg(p_retailprice) AS h2 FROM part, h WHERE p_retailprice > h), l2 AS (SELECT avg(p_retailprice) AS l2 FROM part, l WHERE p_retailprice <= l)
 SELECT p_partkey, CAST(CAST(p_retailprice >= m AS INT) + CAST(p_retailprice >= h AS INT) + CAST(p_retailprice >= l AS INT) + CAST(p_retailprice >= h2 AS INT) + CAST(p_retailprice >= l2 AS INT) AS INT) AS class FROM part, m, h, l, h2, l2""")
@@ -379,6 +386,11 @@ def connect_nearest(spark, sf_dir):
     return rounded(points.connect_nearest(xy(spark, sf_dir), 2))
 
 
+@query(_NEAR + """ SELECT "ID0" AS "ID", round(any_value(x), 6) AS "X_0", round(any_value(y), 6) AS "Y_0", """ + ", ".join(f'round(max(CASE WHEN n = {i} THEN x2 END), 6) AS "X_{i}", round(max(CASE WHEN n = {i} THEN y2 END), 6) AS "Y_{i}", round(max(CASE WHEN n = {i} THEN d END), 6) AS "d_{i}"' for i in (1, 2)) + """ FROM near JOIN k USING (id) GROUP BY 1""")
+def near_table_wide(spark, sf_dir):
+    return rounded(points.near_table_wide(xy(spark, sf_dir), 2))
+
+
 @query(f"""WITH {XY}, d AS (SELECT a.grp, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM xy a JOIN xy b ON a.grp = b.grp AND a.id < b.id),
 s AS (SELECT grp, avg(d) AS m, min(d) AS mi, max(d) AS ma, stddev_pop(d) AS sd FROM d WHERE d <> 0 GROUP BY grp)
 SELECT grp AS "ID", count(*) AS "N_pnts", round(avg(x), 6) AS "CentX", round(avg(y), 6) AS "CentY", round(min(x), 6) AS "MinX", round(min(y), 6) AS "MinY", round(max(x), 6) AS "MaxX", round(max(y), 6) AS "MaxY", round(sqrt(var_pop(x) + var_pop(y)), 6) AS "Stand_Dist",
@@ -537,6 +549,19 @@ def split_equal_area(spark, sf_dir):
     return rounded(grouped.split_polygons(squares(spark, sf_dir), "id", "area", 3))
 
 
+@query("""SELECT id, round(least(w, 20) * least(h, 5), 6) AS area FROM (SELECT p_partkey AS id, p_size AS w, p_retailprice / 100 AS h FROM part)""")
+def clip_polygons(spark, sf_dir):
+    clipped = shapes.rings(grouped.clip_polygons(squares(spark, sf_dir), "id", 0, 0, 20, 5), "id")
+    return rounded(clipped.select("id", planar.ring_area(F.col("ring")).alias("area")))
+
+
+@query("""SELECT id, round(w * h, 6) AS area, 'a' || CAST(id AS VARCHAR) AS shown FROM (SELECT p_partkey AS id, p_size AS w, p_retailprice / 100 AS h FROM part)""")
+def calculator(spark, sf_dir):
+    shown = squares(spark, sf_dir).withColumn("label", F.concat(F.lit("a"), F.col("id")))
+    out = registry.calculate(registry.calculate(shown, "area", ["ring"], "area"), "keep digits", ["label"], "digits")
+    return rounded(out.select("id", "area", F.concat(F.lit("a"), F.col("digits")).alias("shown")))
+
+
 @query()
 def split_sector(spark, sf_dir):
     hulls = shapes.rings(grouped.convex_hulls(xy(spark, sf_dir), "grp"), "grp")
