@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -80,10 +80,16 @@ def digest(edges: DataFrame) -> tuple[int, int | None]:
     return row[0], row[1]
 
 
+def own_key(node: str) -> Column:
+    """The node as a key that doesn't show where its rows already are: both sides of the join are
+    then exchanged, which is what lets the engine split the partition of a hot node."""
+    return F.col(node).bitwiseXOR(F.lit(0))
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour, or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(own_key("u").alias("w"), F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
@@ -91,5 +97,5 @@ def small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and itself, is linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = down.join(least.select(own_key("u").alias("w"), "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
