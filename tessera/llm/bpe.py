@@ -216,17 +216,21 @@ def encode_long(piece: bytes, ranks: Ranks) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def load_ranks(lines: Iterable[bytes]) -> Ranks:
+def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     """From lines of a ``.tiktoken`` file: base64 of the token, a space, its rank."""
-    return Ranks({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())})
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Ranks:
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return load_ranks(f)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Ranks:
+    return Ranks(read_ranks(path))
+
+
 class Encoder:
     """Texts to ids, with the pieces' ids cached as decimal text; the cache empties when it is full."""
 

@@ -25,13 +25,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import vocabulary
+from tessera.llm.bpe import read_ranks
 from tessera.llm.common import stored
 
 ROWS_PER_SALT = 20_000
@@ -149,16 +151,15 @@ def pack_pieces(pieces: DataFrame, capacity: int, id_column: str) -> DataFrame:
     return ranked.mapInArrow(kernel, f"{id_column} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def rank_encoder(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """Encoders by a ``.tiktoken`` file's ranks; strings of special tokens are ordinary text."""
-
-    def load() -> Callable[[str], np.ndarray]:
-        import tiktoken
+@lru_cache(maxsize=1)
+def rank_tool(path: str, pattern: str) -> tiktoken.Encoding:
+    """One for each worker; the library keeps the ranks."""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
-        tool = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary(path).ranks, special_tokens={})
-        return lambda text: tool.encode_to_numpy(text, disallowed_special=())
 
-    return load
+def rank_encoder(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
+    """Encoders by a ``.tiktoken`` file's ranks; strings of special tokens are ordinary text."""
+    return lambda: lambda text: rank_tool(path, pattern).encode_to_numpy(text, disallowed_special=())
 
 
 def pack_documents(df: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024, id_column: str = "doc_id", text: str = "text") -> DataFrame:
