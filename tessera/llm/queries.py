@@ -96,7 +96,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marks = ordinal.grades_of(read_table(spark, sf_dir, "labels")).where(fold("doc_id", 5) != 0)
     out = ordinal.grade_texts(docs, ordinal.fit_classifier(docs, marks))
-    return out.withColumn("held_out", fold("doc_id", 5) == 0)
+    return out.withColumnRenamed("selected", "kept").withColumn("held_out", fold("doc_id", 5) == 0)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

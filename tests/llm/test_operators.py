@@ -121,7 +121,7 @@ def test_archive_round_trip_and_faults(spark):
 
 @pytest.mark.parametrize(("change", "said"), [
     (lambda r: r.replace(b"WARC/1.1", b"HTTP/1.1", 1), "version"),
-    (lambda r: r.replace(b"Content-Length: ", b"Content-Length: 9", 1) if False else re.sub(rb"(Content-Length: )(\d+)(\r\n\r\nHTTP)", rb"\g<1>9\g<2>\g<3>", r), "Content-Length"),
+    (lambda r: re.sub(rb"(Content-Length: )(\d+)(\r\n\r\nHTTP)", rb"\g<1>9\g<2>\g<3>", r), "Content-Length"),
     (lambda r: r.replace(b"WARC-Date", b"X-Date"), "warc-date"),
     (lambda r: r.replace(b"hello", b"jello"), "digest"),
 ])

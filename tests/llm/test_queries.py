@@ -120,9 +120,9 @@ def test_op9_round_trip(spark, sf_dir, docs):
 def test_op10_held_out(spark, sf_dir):
     out = run(spark, sf_dir.replace("sf0.001", "sf0.1"), "op10_quality_classifier").merge(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/labels.parquet").toPandas(), on="doc_id")
     held = out[out.held_out]
-    assert held[(held.quality == 1) & (held.toxic == 0)].selected.mean() > 0.97
-    assert held[held.toxic == 1].selected.mean() < 0.1
-    assert held[(held.quality == 0) & (held.toxic == 0)].selected.mean() < 0.15
+    assert held[(held.quality == 1) & (held.toxic == 0)].kept.mean() > 0.97
+    assert held[held.toxic == 1].kept.mean() < 0.1
+    assert held[(held.quality == 0) & (held.toxic == 0)].kept.mean() < 0.15
 
 
 def test_pipeline_runs_every_stage(spark, sf_dir, tmp_path):
