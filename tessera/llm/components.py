@@ -61,9 +61,12 @@ def contract(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
     return edges.mapInArrow(kernel, "u long, v long")
 
 
-def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 50) -> DataFrame:
-    """(node, component), the component being its least node, for every node that isn't its component's least."""
-    now = cut(contract(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")).where("u <> v").distinct())
+def connected_components(edges: DataFrame, u: str, v: str, contracted: bool = False, max_rounds: int = 50) -> DataFrame:
+    """(node, component), the component being its least node, for every node that isn't its component's least.
+
+    ``contracted``: the edges come as spanning stars already, so tasks needn't make some."""
+    edges = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
+    now = cut((edges if contracted else contract(edges).where("u <> v")).distinct())
     state = digest(now)
     for _ in range(max_rounds):
         now = cut(small_star(large_star(now)))

@@ -217,7 +217,7 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     # a fingerprint of rows without an id has no node to link by
     nodes = rows.groupBy("fp").agg(F.min(id_column).cast("long").alias("node"))
     links = similar_links(nodes.where("node is not null"), size, max_bits, minimum, sets, block)
-    component = connected_components(links, "u", "v").select(F.col("node").alias("n"), "component")
+    component = connected_components(links, "u", "v", contracted=True).select(F.col("node").alias("n"), "component")
     group = nodes.join(component, F.col("node") == F.col("n"), "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "node").alias("component_id"))
     out = rows.join(group, F.col("fp") == F.col("group_fp"), "left")
     return out.select(id_column, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
