@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,45 +73,48 @@ def spanning_trees(df: DataFrame, group: str) -> DataFrame:
     return df.select(group, "x", "y").groupBy(group).applyInPandas(run, f"{group} {kind}, Orig int, Dest int, Dist double")
 
 
-def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Vertex rows of the parts that a kernel makes of each row's ring; no shuffle."""
+def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Vertex rows of the numbered parts that a kernel makes of each row's ring; no shuffle, one batch out for each in."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, ring in zip(pdf[key], pdf["ring"], strict=True):
-                r = np.array([(p["x"], p["y"]) for p in ring], dtype=np.float64)
-                for i, part in enumerate(kernel(r)):
-                    yield _ring_rows(k, i, part, key)
-
-    return df.select(key, "ring").mapInPandas(run, f"{key} {kind}, {VERTEX}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            points = lists.flatten()
+            xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y")])
+            cuts = np.concatenate(([0], np.cumsum(lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))))
+            rows, numbers, rings = [], [], [np.empty((0, 2))]
+            for i in range(batch.num_rows):
+                for number, ring in kernel(xy[cuts[i] : cuts[i + 1]]):
+                    rows.append(i)
+                    numbers.append(number)
+                    rings.append(ring)
+            sizes = np.array([len(r) for r in rings[1:]], dtype=np.int64)
+            out = np.concatenate(rings)
+            place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.array(rows, dtype=np.int64), sizes))), pa.array(np.repeat(np.array(numbers, dtype=np.int32), sizes)), pa.array(place.astype(np.int32)), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())],
+                [key, "part", "pnt_id", "x", "y"],
+            )
+
+    return df.select(key, "ring").mapInArrow(run, f"{key} {kind}, {VERTEX}")
 
 
 def split_polygons(df: DataFrame, key: str, how: str, factor: float, axis: str = "X") -> DataFrame:
-    return _per_ring(df, key, lambda r: kernels.split_polygon(r, how, factor, axis))
+    return _per_ring(df, key, lambda r: list(enumerate(kernels.split_polygon(r, how, factor, axis))))
 
 
 def split_by_sector(df: DataFrame, key: str, n: int) -> DataFrame:
     """Vertex rows; the part number is ``wedge * 100000 + sector piece``."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, ring in zip(pdf[key], pdf["ring"], strict=True):
-                r = np.array([(p["x"], p["y"]) for p in ring], dtype=np.float64)
-                for w, pieces in enumerate(kernels.split_sectors(r, n)):
-                    for i, part in enumerate(pieces):
-                        yield _ring_rows(k, w * 100_000 + i, part, key)
-
-    return df.select(key, "ring").mapInPandas(run, f"{key} {kind}, {VERTEX}")
+    return _per_ring(df, key, lambda r: [(w * 100_000 + i, p) for w, pieces in enumerate(kernels.split_sectors(r, n)) for i, p in enumerate(pieces)])
 
 
 def clip_polygons(df: DataFrame, key: str, left: float, bottom: float, right: float, top: float) -> DataFrame:
     """Vertex rows of what each polygon has inside an extent."""
 
-    def part(r: np.ndarray) -> list[np.ndarray]:
+    def part(r: np.ndarray) -> list[tuple[int, np.ndarray]]:
         clipped = kernels.clip_box(r, left, bottom, right, top)
-        return [clipped] if len(clipped) else []
+        return [(0, clipped)] if len(clipped) else []
 
     return _per_ring(df, key, part)
 
@@ -118,9 +122,9 @@ def clip_polygons(df: DataFrame, key: str, left: float, bottom: float, right: fl
 def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
     """Delaunay triangles of each polygon's vertices whose centroid lies inside the polygon."""
 
-    def parts(r: np.ndarray) -> list[np.ndarray]:
+    def parts(r: np.ndarray) -> list[tuple[int, np.ndarray]]:
         tri = kernels.distinct_sorted(r)[kernels.delaunay(r)]
-        return list(tri[kernels.inside(tri.mean(axis=1), r)]) if len(tri) else []
+        return list(enumerate(tri[kernels.inside(tri.mean(axis=1), r)])) if len(tri) else []
 
     return _per_ring(df, key, parts)
 
