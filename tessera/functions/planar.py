@@ -101,6 +101,17 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) > 2, F.abs(_sum(_steps(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2).otherwise(F.lit(0.0))
 
 
+def ring_centroid(ring: Column) -> Column:
+    """Of the area of a closed ring; of a point or line the mean of its vertices."""
+    o = F.element_at(ring, 1)
+    w = lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])
+    whole = _sum(_steps(ring, w))
+    part = lambda c: o[c] + _sum(_steps(ring, lambda p, q: (p[c] + q[c] - 2 * o[c]) * w(p, q))) / (3 * whole)
+    mean = lambda c: _sum(F.transform(ring, lambda p: p[c])) / F.size(ring)
+    flat = (F.size(ring) < 4) | (whole == 0)
+    return F.struct(F.when(flat, mean("x")).otherwise(part("x")).alias("x"), F.when(flat, mean("y")).otherwise(part("y")).alias("y"))
+
+
 def ring_extent(ring: Column) -> Column:
     """struct L, B, R, T."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])

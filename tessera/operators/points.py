@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,22 +107,41 @@ def connect_nearest(points: DataFrame, k: int = 1) -> DataFrame:
     return ends.distinct().select(F.col("a.x").alias("X_from"), F.col("a.y").alias("Y_from"), F.col("b.x").alias("X_to"), F.col("b.y").alias("Y_to"))
 
 
-def distance_statistics(points: DataFrame, group: str) -> DataFrame:
+def distance_statistics(points: DataFrame, group: str, block: int = 2048) -> DataFrame:
     """For each group: count, centre, extent, standard distance, and statistics of the pairwise distances
     that aren't zero (null where there is none). ``ID`` is the group's key.
 
-    All pairs of a group are what the statistics are of; they are only aggregated, each
-    point's partial sums being made where its pairs are made."""
-    p = points.select(F.col(group).alias("g"), "id", "x", "y")
-    q = p.select(F.col("g").alias("g2"), F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = p.join(q, (F.col("g") == F.col("g2")) & (F.col("id") < F.col("id2")))
-    d = distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    of_pairs = pairs.select("g", d.alias("d")).where("d <> 0").groupBy("g").agg(F.avg("d").alias("Mean_dist"), F.min("d").alias("Min_dist"), F.max("d").alias("Max_dist"), F.stddev_pop("d").alias("Std_dist"))
+    The pairs are never rows: a group's points are dealt to blocks of about ``block``, each
+    pair of blocks is one task's kernel, and gives one row of partial moments."""
+    p = points.select(F.col(group).alias("g"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     base = p.groupBy("g").agg(
         F.count(F.lit(1)).alias("N_pnts"), F.avg("x").alias("CentX"), F.avg("y").alias("CentY"), F.min("x").alias("MinX"), F.min("y").alias("MinY"), F.max("x").alias("MaxX"), F.max("y").alias("MaxY"),
         F.sqrt(F.var_pop("x") + F.var_pop("y")).alias("Stand_Dist"),
     )
-    return base.join(of_pairs, "g", "left").withColumnRenamed("g", "ID")
+    blocks = base.select(F.struct("g").alias("key"), F.ceil(F.col("N_pnts") / block).alias("n"))
+    dealt = p.join(blocks, F.struct("g") == F.col("key")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = dealt.select("g", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "own", "x", "y")
+    kind = points.schema[group].dataType.simpleString()
+
+    def moments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["own"].to_numpy() == key[1]
+        xy = pdf[["x", "y"]].to_numpy()
+        if key[1] == key[2]:
+            i, j = np.triu_indices(len(xy), 1)
+            d = np.hypot(*(xy[i] - xy[j]).T)
+        else:
+            d = np.hypot(*(xy[first][:, None] - xy[~first][None, :]).reshape(-1, 2).T)
+        d = d[d > 0]
+        some = d if len(d) else np.zeros(1)
+        return pd.DataFrame({"g": pd.Series([key[0]], dtype=object), "n": [len(d)], "mean": [some.mean()], "m2": [((some - some.mean()) ** 2).sum()], "low": [some.min()], "high": [some.max()]})
+
+    parts = dealt.groupBy("g", "b0", "b1").applyInPandas(moments, f"g {kind}, n long, mean double, m2 double, low double, high double").where("n > 0")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) / n - mean * mean
+    of_pairs = parts.groupBy("g").agg(mean.alias("Mean_dist"), F.min("low").alias("Min_dist"), F.max("high").alias("Max_dist"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("Std_dist"))
+    of_pairs = of_pairs.select(F.struct("g").alias("key"), "Mean_dist", "Min_dist", "Max_dist", "Std_dist")
+    return base.join(of_pairs, F.struct("g") == F.col("key"), "left").drop("key").withColumnRenamed("g", "ID")
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, side: float | None = None) -> DataFrame:

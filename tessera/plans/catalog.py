@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, planar, registry, text
 from tessera.operators import grouped, points, shapes, tables, windows
+from tessera.sources import features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -562,6 +563,11 @@ def calculator(spark, sf_dir):
     return rounded(out.select("id", "area", F.concat(F.lit("a"), F.col("digits")).alias("shown")))
 
 
+@query("""SELECT p_partkey AS id, round(p_size / 2, 6) AS x, round(p_retailprice / 200, 6) AS y FROM part""")
+def centroids(spark, sf_dir):
+    return rounded(features.feature_points(squares(spark, sf_dir), ["id"]))
+
+
 @query()
 def split_sector(spark, sf_dir):
     hulls = shapes.rings(grouped.convex_hulls(xy(spark, sf_dir), "grp"), "grp")

@@ -176,3 +176,14 @@ def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [(0, 0), (4, 0), (4, 3), (0, 0)]])
     r = spark.range(1).select(planar.ring_area(ring), planar.ring_length(ring), planar.angles_summary(ring), planar.ring_length(planar.densify(ring, 5)), planar.point_along(ring, 5.5)["y"]).first()
     assert list(r) == pytest.approx([6.0, 12.0, 180.0, 12.0, 1.5])
+
+
+def test_distance_statistics_in_blocks(spark):
+    rows = [(i, "a" if i < 40 else "b", float(i * 7 % 13), float(i * 5 % 11)) for i in range(60)] + [(99, "one", 1.0, 1.0), (100, None, 0.0, 0.0), (101, None, 3.0, 4.0)]
+    df = frame(spark, rows, "id int, g string, x double, y double")
+    whole = {r.ID: r for r in points.distance_statistics(df, "g").collect()}
+    for r in points.distance_statistics(df, "g", block=7).collect():
+        for name in ("Mean_dist", "Min_dist", "Max_dist", "Std_dist"):
+            assert r[name] == pytest.approx(whole[r.ID][name])
+    assert whole["one"].Mean_dist is None
+    assert (whole[None].Mean_dist, whole[None].N_pnts) == (5.0, 2)
