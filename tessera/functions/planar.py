@@ -146,6 +146,18 @@ def vertex_angles(ring: Column) -> Column:
     return F.when(m > 2, F.zip_with(F.slice(around, 1, m - 2), pairs, angle))
 
 
+def signed_angles(line: Column) -> Column:
+    """Degrees at the inner vertices of a line, 0 to 360 by the side it turns to; no wrap around a closure."""
+    m = F.size(line)
+
+    def angle(p: Column, r: Column) -> Column:
+        ux, uy, vx, vy = r["q"]["x"] - p["x"], r["q"]["y"] - p["y"], r["q"]["x"] - r["r"]["x"], r["q"]["y"] - r["r"]["y"]
+        return F.pmod(F.degrees(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)), F.lit(360.0))
+
+    pairs = F.zip_with(F.slice(line, 2, m - 2), F.slice(line, 3, m - 2), lambda q, r: F.struct(q.alias("q"), r.alias("r")))
+    return F.when(m > 2, F.zip_with(F.slice(line, 1, m - 2), pairs, angle))
+
+
 def angles_summary(ring: Column, kind: str = "sum") -> Column:
     """Sum, min or max of the vertex angles other than 180 degrees."""
     a = F.filter(vertex_angles(ring), lambda v: F.abs(v - 180.0) > 1e-8)

@@ -151,3 +151,15 @@ def spaced_points(df: DataFrame, key: str, space: float, n: int, seed: int = 0)
                 yield pd.DataFrame({key: getattr(r, key), "pnt_id": np.arange(len(p), dtype=np.int32), "x": p[:, 0], "y": p[:, 1]})
 
     return df.select(key, "L", "B", "R", "T").mapInPandas(run, f"{key} {kind}, pnt_id int, x double, y double")
+
+
+def geodesic_measures(df: DataFrame, key: str) -> DataFrame:
+    """``length_km`` and ``area_km2`` of rings of longitudes and latitudes."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = [np.array([(p["x"], p["y"]) for p in r or []], dtype=np.float64).reshape(-1, 2) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kernels.geodesic_length(r) / 1e3 for r in rings], pa.float64()), pa.array([kernels.geodesic_area(r) / 1e6 for r in rings], pa.float64())], [key, "length_km", "area_km2"])
+
+    return df.select(key, "ring").mapInArrow(run, f"{key} {kind}, length_km double, area_km2 double")

@@ -65,6 +65,16 @@ def nearest(origins: DataFrame, points: DataFrame, k: int, exclude_same: bool =
     return out.select("id", "x", "y", "n", "id2", "x2", "y2", F.sqrt("d2").alias("d"))
 
 
+def distance_pairs(origins: DataFrame, destinations: DataFrame, within: float) -> DataFrame:
+    """The distance table in long form, ``id, id2, d``, of all pairs at most ``within`` apart: cells of that side meet their neighbours only."""
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    asked = origins.select("id", "x", "y").withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
+    asked = asked.select("id", "x", "y", (_cell(F.col("x"), within) + F.col("ox")).alias("cx"), (_cell(F.col("y"), within) + F.col("oy")).alias("cy"))
+    cells = destinations.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), _cell(F.col("x"), within).alias("cx"), _cell(F.col("y"), within).alias("cy"))
+    d2 = squared_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+    return asked.join(cells, ["cx", "cy"]).where(d2 <= within * within).select("id", "id2", F.sqrt(d2).alias("d"))
+
+
 def nearest_wide(points: DataFrame, k: int) -> DataFrame:
     """One row for each point: ``ID`` its 0-based place by (x, y, id), ``Xo, Yo``, then ``C{i}_X, C{i}_Y, Dist{i}``."""
     order = Ordered(points.select("id", "x", "y"), ["x", "y", "id"]).with_number("ID0").df.select("id", (F.col("ID0") - 1).alias("ID0"))

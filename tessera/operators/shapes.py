@@ -49,11 +49,14 @@ def _lattice(spark: SparkSession, rows: int, cols: int) -> DataFrame:
 
 
 def mesh_points(spark: SparkSession, left: float, bottom: float, right: float, top: float, dx: float, dy: float, top_down: bool = True) -> DataFrame:
-    """Lattice points, far edges included: ``Pnt_num``, ``X``, ``Y`` and ``RowCol``."""
-    nx, ny = int(math.floor((right - left) / abs(dx) + 1e-9)) + 1, int(math.floor((top - bottom) / abs(dy) + 1e-9)) + 1
-    g = _lattice(spark, ny, nx)
-    y = F.lit(bottom) + F.col("row") * abs(dy) if not top_down else F.lit(bottom) + (ny - 1 - F.col("row")) * abs(dy)
-    return g.select(F.col("n").alias("Pnt_num"), (F.lit(left) + F.col("col") * abs(dx)).alias("X"), y.alias("Y"), F.format_string("r%03d c%03d", "row", "col").alias("RowCol"))
+    """Lattice points that reach the far edges or the first step beyond: ``Pnt_num``, ``X``, ``Y``, the same
+    as ``Xs`` and ``Ys`` for labels, and ``RowCol``. Rows go down from the top or up from the bottom."""
+    dx, dy = abs(dx), abs(dy)
+    nx, ny = math.ceil((right - left) / dx - 1e-9) + 1, math.ceil((top - bottom) / dy - 1e-9) + 1
+    x = F.lit(float(left)) + F.col("col") * float(dx)
+    y = F.lit(float(top)) - F.col("row") * float(dy) if top_down else F.lit(float(bottom)) + F.col("row") * float(dy)
+    label = F.format_string("r%03d c%03d", "row", "col")
+    return _lattice(spark, ny, nx).select(F.col("n").alias("Pnt_num"), x.alias("X"), y.alias("Y"), x.alias("Xs"), y.alias("Ys"), label.alias("RowCol"))
 
 
 def circle_ring(radius: float, step: float, cx: Column | float = 0.0, cy: Column | float = 0.0) -> Column:

@@ -382,6 +382,12 @@ def nearest_destinations(spark, sf_dir):
     return rounded(points.nearest_destinations(p.where("grp < 5"), p.where("grp >= 5"), 2))
 
 
+@query(f"""WITH {XY} SELECT a.id, b.id AS id2, round(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 6) AS d FROM xy a JOIN xy b ON (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 0.0004""")
+def distance_pairs(spark, sf_dir):
+    p = xy(spark, sf_dir)
+    return rounded(points.distance_pairs(p, p, 0.02))
+
+
 @query(_NEAR + """ SELECT DISTINCT round(CASE WHEN (x, y) <= (x2, y2) THEN x ELSE x2 END, 6) AS "X_from", round(CASE WHEN (x, y) <= (x2, y2) THEN y ELSE y2 END, 6) AS "Y_from", round(CASE WHEN (x, y) <= (x2, y2) THEN x2 ELSE x END, 6) AS "X_to", round(CASE WHEN (x, y) <= (x2, y2) THEN y2 ELSE y END, 6) AS "Y_to" FROM near WHERE n <= 2""")
 def connect_nearest(spark, sf_dir):
     return rounded(points.connect_nearest(xy(spark, sf_dir), 2))
@@ -441,7 +447,7 @@ def distance_to_point(spark, sf_dir):
 # shapes
 
 
-@query("""SELECT r * 11 + c AS "Pnt_num", CAST(c * 2 AS DOUBLE) AS "X", CAST((5 - r) * 2 AS DOUBLE) AS "Y", printf('r%03d c%03d', r, c) AS "RowCol" FROM range(6) t(r), range(11) u(c)""")
+@query("""SELECT r * 11 + c AS "Pnt_num", CAST(c * 2 AS DOUBLE) AS "X", CAST((5 - r) * 2 AS DOUBLE) AS "Y", CAST(c * 2 AS DOUBLE) AS "Xs", CAST((5 - r) * 2 AS DOUBLE) AS "Ys", printf('r%03d c%03d', r, c) AS "RowCol" FROM range(6) t(r), range(11) u(c)""")
 def mesh_points(spark, sf_dir):
     return rounded(shapes.mesh_points(spark, 0.0, 0.0, 20.0, 10.0, 2.0, 2.0))
 
@@ -580,6 +586,17 @@ def triangulate_polygons(spark, sf_dir):
     return rounded(grouped.triangulate_polygons(hulls, "grp"))
 
 
+@query("""SELECT id, CAST(90 AS DOUBLE) AS a0, CAST(90 AS DOUBLE) AS a1, 3 AS n FROM (SELECT p_partkey AS id FROM part)""")
+def signed_angles(spark, sf_dir):
+    a = planar.signed_angles(F.col("ring"))
+    return rounded(squares(spark, sf_dir).select("id", a[0].alias("a0"), a[2].alias("a1"), F.size(a).alias("n")))
+
+
+@query()
+def geodesic_measures(spark, sf_dir):
+    return rounded(grouped.geodesic_measures(squares(spark, sf_dir), "id"))
+
+
 @query()
 def geodesic_inverse(spark, sf_dir):
     p = xy(spark, sf_dir).select("id", (F.col("x") * 30).alias("lon0"), (F.col("y") * 20).alias("lat0"), F.lit(-75.0).alias("lon1"), F.lit(45.0).alias("lat1"))

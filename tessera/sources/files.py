@@ -180,3 +180,12 @@ def raster_cells(spark: SparkSession, values: np.ndarray, left: float, bottom: f
     pdf = pd.DataFrame({"row": r.ravel(), "col": c.ravel(), "x": left + (c.ravel() + 0.5) * size, "y": bottom + (n_rows - r.ravel() - 0.5) * size, "value": v})
     out = spark.createDataFrame(pdf)
     return out if nodata is None else out.withColumn("value", F.when(F.col("value") != nodata, F.col("value")))
+
+
+def raster_info(cells: DataFrame) -> DataFrame:
+    """One row: rows, columns, count of values, min, max, mean, population deviation, and the extent of the cell centres."""
+    v = F.col("value")
+    return cells.agg(
+        (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        F.min("x").alias("left"), F.min("y").alias("bottom"), F.max("x").alias("right"), F.max("y").alias("top"),
+    )
