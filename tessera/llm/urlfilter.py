@@ -66,28 +66,37 @@ def with_rules(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str =
     return df.withColumns({"rule": name, "rule_verdict": verdict})
 
 
-def build_filter(listed: DataFrame, column: str, bits_per_url: int = 16, max_bytes: int = 1 << 26) -> np.ndarray:
+def bit_picks(h: Column) -> list[Column]:
+    """The eight bits of a hash in its block: six from the hash, two from hashes of it."""
+    mask = F.lit(BLOCK_BITS - 1)
+    return [F.shiftrightunsigned(h, 9 * i).bitwiseAND(mask) for i in range(6)] + [F.xxhash64(h, F.lit(i)).bitwiseAND(mask) for i in range(PROBES - 6)]
+
+
+def build_filter(listed: DataFrame, column: str, bits_per_url: int = 16, max_bytes: int = 1 << 25) -> np.ndarray:
     """Blocked Bloom filter of the distinct values: uint64 words, eight a block.
 
-    The bits are set where the rows are and or-ed by block before anything reaches
-    the driver, so it receives one row a block. ``max_bytes`` bounds the filter
-    whatever the list's length; a list beyond ``max_bytes * 8 / bits_per_url``
-    only raises the share of false positives, which the exact join removes.
-    """
+    The words are or-ed by block before and after the exchange, so the driver receives
+    one row of eight words a block, ``max_bytes`` in all whatever the list's length; a
+    list beyond ``max_bytes * 8 / bits_per_url`` only raises the share of false
+    positives, which the exact join removes."""
     n = listed.count()
     blocks = max(1, min(max_bytes * 8, n * bits_per_url) // BLOCK_BITS)
-    words = np.zeros(blocks * 8, dtype=np.uint64)
     h = F.xxhash64(F.col(column))
-    bits = F.explode(F.array(*[F.shiftrightunsigned(h, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(6)] + [F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(PROBES - 6)]))
-    rows = (
-        listed.select(F.pmod(F.xxhash64(h), F.lit(blocks)).alias("block"), bits.alias("bit"))
-        .groupBy("block", (F.col("bit") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-        .collect()
-    )
-    for block, word, mask in rows:
-        words[block * 8 + word] = mask & 0xFFFFFFFFFFFFFFFF
-    return words
+    picks = listed.select(F.pmod(F.xxhash64(h), F.lit(blocks)).alias("block"), *[p.alias(f"b{i}") for i, p in enumerate(bit_picks(h))])
+
+    def word(k: int) -> Column:
+        masks = [F.when(F.shiftright(f"b{i}", 6) == k, F.expr(f"shiftleft(1L, cast(b{i} & 63 as int))")).otherwise(F.lit(0).cast("long")) for i in range(PROBES)]
+        out = masks[0]
+        for m in masks[1:]:
+            out = out.bitwiseOR(m)
+        return F.bit_or(out).alias(f"w{k}")
+
+    rows = picks.groupBy("block").agg(*[word(k) for k in range(8)]).toArrow()
+    words = np.zeros((blocks, 8), dtype=np.uint64)
+    at = rows["block"].to_numpy()
+    for k in range(8):
+        words[at, k] = rows[f"w{k}"].to_numpy().view(np.uint64)
+    return words.ravel()
 
 
 def possibly_listed(df: DataFrame, column: str, words: np.ndarray) -> Column:
