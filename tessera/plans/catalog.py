@@ -268,7 +268,7 @@ SELECT event_id, CASE WHEN n > 2 AND n <= (SELECT max(n) FROM n) - 2 THEN CAST(v
 )
 
 
-@query("""WITH c AS (SELECT c_nationkey AS r, c_custkey % 7 AS c, sum(c_acctbal) AS v FROM customer GROUP BY 1, 2)
+@query("""WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS r, c_custkey % 7 AS c, sum(c_acctbal) AS v FROM customer GROUP BY 1, 2)
 SELECT a.r AS row, a.c AS col, round(avg(b.v), 4) AS focal FROM c a JOIN c b ON b.r BETWEEN a.r AND a.r + 2 AND b.c BETWEEN a.c AND a.c + 2 GROUP BY 1, 2 HAVING count(*) = 9""")
 def focal_mean(spark, sf_dir):
     cells = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("row"), (F.col("c_custkey") % 7).alias("col")).agg(F.sum("c_acctbal").alias("value"))
@@ -471,7 +471,7 @@ def grid_rectangle(spark, sf_dir):
     return rounded(shapes.vertices(shapes.sampling_grid(spark, "rectangle", 10, 20, 2, 3, 5, 4, angle=30)))
 
 
-@query("""SELECT (r * 5 + c) * 2 + k AS cell, chr(CAST(65 + c AS INT)) || lpad(CAST(r + 1 AS VARCHAR), 2, '0') AS code, CAST(pnt_id AS INT) AS pnt_id, (c + px) * 2.0 AS x, (r + py) * 3.0 AS y FROM range(4) t(r), range(5) u(c),
+@query("""SELECT (r * 5 + c) * 2 + k AS cell, chr(CAST(65 + c AS INT)) || lpad(CAST(r + 1 AS VARCHAR), 2, '0') AS code, CAST(pnt_id AS INT) AS pnt_id, CAST((c + px) * 2 AS DOUBLE) AS x, CAST((r + py) * 3 AS DOUBLE) AS y FROM range(4) t(r), range(5) u(c),
 (VALUES (0, 0, 0.0, 0.0), (0, 1, 0.5, 1.0), (0, 2, 1.0, 0.0), (0, 3, 0.0, 0.0), (1, 0, 0.5, 1.0), (1, 1, 1.5, 1.0), (1, 2, 1.0, 0.0), (1, 3, 0.5, 1.0)) v(k, pnt_id, px, py)""")
 def grid_triangle(spark, sf_dir):
     return rounded(shapes.vertices(shapes.sampling_grid(spark, "triangle", 0, 0, 2, 3, 5, 4)))
@@ -487,7 +487,7 @@ def grid_hex_pointy(spark, sf_dir):
     return rounded(shapes.vertices(shapes.sampling_grid(spark, "hex_pointy", 0, 0, 2, 2, 5, 4)))
 
 
-@query("""SELECT k AS line_id, CAST(10 * k AS DOUBLE) AS "X_from", 0.0 AS "Y_from", round(10 * k + 100 * sin(radians(45)), 6) AS "X_to", round(100 * cos(radians(45)), 6) AS "Y_to" FROM range(5) t(k)""")
+@query("""SELECT k AS line_id, CAST(10 * k AS DOUBLE) AS "X_from", CAST(0 AS DOUBLE) AS "Y_from", round(10 * k + 100 * sin(radians(45)), 6) AS "X_to", round(100 * cos(radians(45)), 6) AS "Y_to" FROM range(5) t(k)""")
 def transects(spark, sf_dir):
     return rounded(shapes.transects(spark, 5, 0, 0, 100, x_offset=10, bearing=45))
 
@@ -515,7 +515,7 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ring", F.array(at(0, 0), at(0, 1), at(1, 1), at(1, 0), at(0, 0)))
 
 
-@query("""SELECT id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS length, round(360.0, 6) AS angles, round((w + h) / 2, 6) AS side, CAST(17 AS INT) AS dense, round(2 * (w + h), 6) AS dense_length, 0.0 AS half_x, round(h / 2, 6) AS half_y FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part)""")
+@query("""SELECT id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS length, CAST(360 AS DOUBLE) AS angles, round((w + h) / 2, 6) AS side, CAST(17 AS INT) AS dense, round(2 * (w + h), 6) AS dense_length, CAST(0 AS DOUBLE) AS half_x, round(h / 2, 6) AS half_y FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part)""")
 def ring_measures(spark, sf_dir):
     r = F.col("ring")
     dense = planar.densify(r, 4)
