@@ -86,7 +86,7 @@ def npy_bytes(df: DataFrame, max_rows: int = 1_000_000) -> bytes:
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Structured or 2-D arrays of one dtype; names are cleaned. Each file is one task's."""
+    """Structured or 2-D arrays of one dtype; names are cleaned, NaN becomes null. Each file is one task's."""
     files = spark.read.format("binaryFile").load(path)
     first = np.load(io.BytesIO(files.limit(1).first()["content"]), allow_pickle=False)
     names = unique_names(list(first.dtype.names or [f"f{i}" for i in range(first.shape[1] if first.ndim > 1 else 1)]))
