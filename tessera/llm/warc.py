@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import work_path
 
-#: Fixed values of the formats: a skippable frame's magic number for dictionaries, a data frame's, a trained dictionary's.
+#: Fixed values of the formats: magic numbers of skippable frames with dictionaries and data frames.
 SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
-DICT_MAGIC = 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-record-id", "warc-date", "warc-type", "content-length")
 
