@@ -3,17 +3,19 @@
 Documents are cut into pieces of at most ``capacity`` tokens and the pieces placed into
 as few sequences of ``capacity`` as best fit by falling length finds.
 
-The range-sorted lists that the sweeps run over are kept as runs. Lengths are whole
-numbers up to ``capacity``, so the pieces, sorted by length, are at most ``capacity``
-runs of equal length, and the gaps, sorted by size, at most ``capacity`` runs of equal
-size, whatever the input. Each superstep takes the next run of pieces in falling
-order and sweeps upwards over the gaps from its length: the successor run serves the
-pieces by rank, the k-th waiting piece getting the k-th gap; pieces that lose (there
-are fewer gaps than pieces) go on to the next gap run, and open sequences when there
-is none; the served gaps shrink by the length and join the run of their new size.
-Matching piece to sequence by rank is all that touches the rows, and is distributed:
-ranks within a run come from salted windows and offsets by salt, and each task finds
-its pieces' sequences by a successor search in the rank table.
+Pieces are range-sorted by length and dealt in turn to shards of about ``SHARD_ROWS``, so
+that all shards have alike lengths; they sweep at the same time, each in one task. The
+sorted lists of a sweep are runs: pieces of
+equal length, and gaps of equal size. A step takes the next run of pieces in falling order
+and sweeps upwards over the gaps from its length: the successor run serves the pieces by
+rank, the k-th waiting piece getting the k-th gap; pieces that lose (there are fewer gaps
+than pieces) go on to the next gap run, and open sequences when there is none; the served
+gaps shrink by the length and join the run of their new size.
+
+A shard's last sequences are what its sweep couldn't fill for want of other shards'
+pieces. So the superstep is repeated with the pieces of each shard's ``PASSED_ON``
+emptiest sequences, dealt to fewer shards, until there is one; each superstep's result is
+written to the shared folder. The sequences that a shard keeps are final.
 
 Edge cases: a null or empty text has its end token alone; equal lengths, copies and
 repeated ids are ranked in id order, one place each; an empty table gives no rows;
@@ -30,41 +32,40 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import read_ranks
 from tessera.llm.common import stored
 
-ROWS_PER_SALT = 20_000
-
-
-#: Ranks are below this, so a length and a rank make one sortable key.
-RANK_LIMIT = 1 << 48
+SHARD_ROWS = 16_384
+PASSED_ON = 8
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Rank ranges sorted by ``key``, length and first rank: the r-th piece of a length goes to
-    sequence ``sequence[i] + r - rank[i]`` at ``offset[i]``."""
+    """Rank ranges by length, then rank: the r-th piece of ``length[i]`` goes to sequence
+    ``sequence[i] + r - rank[i]`` at ``offset[i]``."""
 
-    key: np.ndarray
+    length: np.ndarray
     rank: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of pieces by length and rank."""
-        i = np.searchsorted(self.key, length * RANK_LIMIT + rank, side="right") - 1
+        """Sequence and offset of pieces by length and rank: a successor search in the ranges."""
+        wide = 1 << 40
+        i = np.searchsorted(self.length * wide + self.rank, length * wide + rank, side="right") - 1
         return self.sequence[i] + rank - self.rank[i], self.offset[i]
 
 
-def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
-    """Supersteps over the runs ``counts`` (length -> pieces)."""
+def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
+    """One shard's sweep over the runs ``counts``, the number of pieces by length."""
     gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences: the first, how many
     has = np.zeros(capacity + 1, dtype=bool)
-    ranges: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+    ranges: list[tuple[int, int, int, int]] = []
     made = 0
 
     def leave(first: int, n: int, size: int) -> None:
@@ -72,34 +73,39 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
             gaps.setdefault(size, []).append((first, n))
             has[size] = True
 
-    for length in range(capacity, 0, -1):
-        waiting, rank = counts.get(length, 0), 0
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        waiting, rank = int(counts[length]), 0
         while waiting:
-            fits = np.flatnonzero(has[length:])
-            if not len(fits):
+            size = length + int(has[length:].argmax())
+            if not has[size]:
                 # no gap is left: new sequences, each with as many of these pieces as it holds
                 each = capacity // length
                 full, rest = divmod(waiting, each)
                 for slot in range(min(each, waiting)):
-                    ranges[length].append((rank, made, slot * length))
+                    ranges.append((length, rank, made, slot * length))
                     rank += full + (rest > slot)
                 leave(made, full, capacity - each * length)
-                leave(made + full, rest > 0, capacity - rest * length)
+                leave(made + full, int(rest > 0), capacity - rest * length)
                 made += full + (rest > 0)
                 break
-            size = length + int(fits[0])
             first, n = gaps[size].pop()
             if not gaps[size]:
                 del gaps[size]
                 has[size] = False
             served = min(n, waiting)
-            ranges[length].append((rank, first, capacity - size))
+            ranges.append((length, rank, first, capacity - size))
             leave(first, served, size - length)
             leave(first + served, n - served, size)
             rank, waiting = rank + served, waiting - served
-    flat = np.array([r for group in ranges for r in group], dtype=np.int64).reshape(-1, 3)
-    key = np.repeat(np.arange(capacity + 1), [len(group) for group in ranges]) * RANK_LIMIT + flat[:, 0]
-    return Plan(key, flat[:, 0], flat[:, 1], flat[:, 2], made)
+    flat = np.array(sorted(ranges), dtype=np.int64).reshape(-1, 4)
+    return Plan(flat[:, 0], flat[:, 1], flat[:, 2], flat[:, 3], made)
+
+
+def sweep(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence (from 0) and offset of each piece of a shard; pieces come by falling length."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    above = np.cumsum(counts[::-1])[::-1] - counts
+    return plan_packing(counts, capacity).place(lengths, np.arange(len(lengths)) - above[lengths])
 
 
 def token_pieces(df: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], end_id: int, capacity: int, id_column: str, text: str) -> DataFrame:
@@ -129,26 +135,69 @@ def token_pieces(df: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]
     return df.select(id_column, text).mapInArrow(kernel, f"{id_column} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, id_column: str) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to stored ``pieces``."""
-    counts = dict(pieces.groupBy("length").count().collect())
-    plan = plan_packing(counts, capacity)
-    shared = pieces.sparkSession.sparkContext.broadcast(plan)
-    salts = max(256, sum(counts.values()) // ROWS_PER_SALT)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(id_column, "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy("length", "__salt").count().select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__salt").orderBy(id_column, "piece")
-    ranked = salted.withColumn("__in", F.row_number().over(inside) - 1).join(starts, ["length", "__salt"])
-    ranked = ranked.select(id_column, "piece", "start", "length", "ids_crc32", (F.col("__before") + F.col("__in")).cast("long").alias("rank"))
+def superstep(pieces: DataFrame, shards: int, level: int, capacity: int, id_column: str) -> DataFrame:
+    """All shards' sweeps: ``sequence_id``, ``offset``, and whether a row is ``passed`` on to the next superstep."""
+    names = [id_column, "piece", "start", "length", "ids_crc32"]
+    kind = pieces.schema[id_column].dataType.simpleString()
+    schema = f"{id_column} {kind}, piece int, start long, length long, ids_crc32 long"
+    order = [F.desc("length"), id_column, "piece"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            shard = (np.arange(turn, turn + batch.num_rows) % shards).astype(np.int64)
+            turn += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["__shard", *names])
+
+    ranged = pieces.select(names).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = ranged.mapInArrow(deal, f"__shard long, {schema}").repartition("__shard").sortWithinPartitions("__shard", *order)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(table: pa.Table) -> pa.RecordBatch:
+            rows = table.combine_chunks()
+            lengths = rows.column("length").to_numpy()
+            sequence, offset = sweep(lengths, capacity)
+            gap = capacity - np.bincount(sequence, weights=lengths).astype(np.int64)
+            emptiest = np.argsort(-gap, kind="stable")[:PASSED_ON]
+            passed = np.isin(sequence, emptiest[gap[emptiest] > 0]) if shards > 1 else np.zeros(len(sequence), dtype=bool)
+            number = (level << 58) + (rows.column("__shard").to_numpy() << 20) + sequence
+            columns = [rows.column(n).combine_chunks() for n in names]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(number), pa.array(offset), pa.array(passed)], [*names, "sequence_id", "offset", "passed"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            sequence, offset = shared.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+            shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if held and held[0].column(0)[0].as_py() != shard[a]:
+                        yield packed(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield packed(pa.Table.from_batches(held))
 
-    kind = pieces.schema[id_column].dataType.simpleString()
-    return ranked.mapInArrow(kernel, f"{id_column} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.mapInArrow(kernel, f"{schema}, sequence_id long, offset long, passed boolean")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int, id_column: str) -> DataFrame:
+    """``pieces``, stored, with ``sequence_id`` and ``offset``."""
+    done: list[DataFrame] = []
+    rest, level = pieces, 0
+    while True:
+        shards = max(1, -(-rest.count() // SHARD_ROWS))
+        placed = superstep(rest, shards, level, capacity, id_column)
+        if shards == 1:
+            done.append(placed.drop("passed"))
+            break
+        placed = stored(placed, "packed")
+        done.append(placed.where("not passed").drop("passed"))
+        rest, level = placed.where("passed").select(pieces.columns), level + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @lru_cache(maxsize=1)

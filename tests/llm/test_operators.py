@@ -72,28 +72,35 @@ def test_pieces_cover_every_row(odd, empty):
 
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=32))
 @settings(max_examples=150, deadline=None)
-def test_plan_is_best_fit(counts):
-    plan = packing.plan_packing(counts, 32)
-    lengths = np.array([n for n, c in sorted(counts.items()) for _ in range(c)], dtype=np.int64)
-    ranks = np.array([r for _, c in sorted(counts.items()) for r in range(c)], dtype=np.int64)
-    if not len(lengths):
-        assert plan.sequences == 0
-        return
-    sequence, offset = plan.place(lengths, ranks)
-    for s in range(plan.sequences):
-        mine = sorted(zip(offset[sequence == s], lengths[sequence == s], strict=True))
+def test_sweep_is_best_fit(counts):
+    lengths = np.array([n for n, c in sorted(counts.items(), reverse=True) for _ in range(c)], dtype=np.int64)
+    sequence, offset = packing.sweep(lengths, 32)
+    for s in range(sequence.max(initial=-1) + 1):
         at = 0
-        for o, n in mine:
+        for o, n in sorted(zip(offset[sequence == s], lengths[sequence == s], strict=True)):
             assert o == at
             at += n
         assert 0 < at <= 32
     # the same number as best fit one by one, largest first
     free = []
-    for n in sorted(lengths.tolist(), reverse=True):
+    for n in lengths.tolist():
         fit = min((f for f in free if f >= n), default=None)
-        free.remove(fit) if fit is not None else None
+        if fit is not None:
+            free.remove(fit)
         free.append((32 if fit is None else fit) - n)
-    assert plan.sequences == len(free)
+    assert sequence.max(initial=-1) + 1 == len(free)
+
+
+def test_supersteps_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(np.concatenate((rng.integers(1, 1025, 2000), np.full(900, 7))))]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(pieces, 1024, "doc_id").toPandas()
+    assert sorted(out.doc_id) == list(range(2900))
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum().shift(fill_value=0)).all() and g.length.sum() <= 1024
+    assert out.sequence_id.nunique() <= out.length.sum() / 1024 * 1.02 + 1
 
 
 # WARC
