@@ -7,10 +7,7 @@ Two 8-byte fingerprints within ``max_bits`` differ in at most that many bytes, s
 share at least ``8 - max_bits`` positional bytes: the guaranteed minimum. A posting list
 of a single positional byte would hold a 256th of all rows, so the index is on
 combinations of positions, chosen so that any two fingerprints that share the minimum
-share a whole combination (a Turan covering: 20 triples for four shared bytes). Longer
-fingerprints, for similarities at which no byte is sure to be shared, are indexed by
-disjoint pairs of positions: texts of Jaccard similarity 0.8 (15 % of the bits differ)
-share one of the 40 pairs of ten words with probability 0.95, of 0.85 with 0.99.
+share a whole combination (a Turan covering: 20 triples for four shared bytes).
 
 Within a posting list the shared positional bytes of each pair are tallied, pairs below
 the minimum dropped, and the rest verified by their bits; what leaves a list is a
@@ -18,8 +15,20 @@ spanning star of its verified links, never all pairs. A list longer than ``block
 split into pairs of blocks, each a list of its own. Equal fingerprints are one node from
 the start, so copies are never paired.
 
+Longer fingerprints are for a similarity (Jaccard, of the sets of shingles) at which no
+byte is sure to be shared. The index only proposes:
+
+* at 0.8 about 15 % of the bits differ. The 80 bytes of ten words fall into groups of
+  five, indexed by all pairs in a group: 160 keys, of which two texts share one with
+  probability 0.9998 if their bits differ independently;
+* a posting carries the first ``CARRIED`` words, of which ``max_bits`` may differ: 40 of
+  128 where 19 are expected, with a deviation of 4;
+* the pairs of the lists' stars are verified by their shingles. What those links leave
+  apart is looked up again: all proposed pairs of two different components are verified,
+  so the links span the components of all proposed pairs that are similar enough.
+
 Edge cases: a null text and one without words have fingerprint zero and link like any
-other; a text of fewer words than a shingle is one shingle; a row with a null id gets
+other, two of them being equal; a text of fewer words than a shingle is one shingle; a row with a null id gets
 its fingerprint and the least known id of its group; repeated ids keep all their rows;
 an empty table gives an empty result. Other columns aren't returned.
 """
@@ -27,32 +36,40 @@ an empty table gives an empty result. Other columns aren't returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, cut
-from tessera.llm.components import connected_components, spanning_edges
+from tessera.llm.common import broadcast_if_small, cut, stored
+from tessera.llm.components import connected_components, own_key, spanning_edges
 from tessera.llm.quality_rules import mix
 
 SEED = 42
 POSITIONS = 8
+#: Words of a long fingerprint that its postings carry, and the bytes of a group whose pairs index it.
+CARRIED, GROUP = 2, 5
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """The hash of each shingle, with repeats; none without tokens."""
+    n = len(tokens) - words + 1
+    shingles = [b" ".join(tokens)][: len(tokens)] if n < 1 else map(b" ".join, zip(*(tokens[i : n + i] for i in range(words)), strict=True))
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.array([digest(s, seed) for s in shingles], dtype=np.uint64)
 
 
 def fingerprint(text: str | None, words: int, size: int = 1) -> np.ndarray:
     """``size`` 64-bit words of one text's fingerprint."""
     out = np.zeros(size, dtype=np.uint64)
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
+    hashes = shingle_hashes((text or "").encode().lower().split(), words)
+    if not len(hashes):
         return out
-    n = len(tokens) - words + 1
-    shingles = [b" ".join(tokens)] if n < 1 else map(b" ".join, zip(*(tokens[i : n + i] for i in range(words)), strict=True))
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(s, seed) for s in shingles], dtype=np.uint64)
     for w in range(size):
         ones = np.zeros(64, dtype=np.int64)
         for i in range(0, len(hashes), 1 << 13):
@@ -113,20 +130,26 @@ def linked(x: np.ndarray, y: np.ndarray, minimum: int, max_bits: int) -> np.ndar
     return out
 
 
-def list_links(fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of the links of one posting list, ``cells`` pairs at a time."""
+def list_links(fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, cells: int = 1 << 18, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of the links of one posting list, ``cells`` pairs at a time; all links of rows that differ in ``apart``, if it is given."""
     n = len(fps)
     stars: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
+    every = [stars]
     step = max(1, cells // n)
     for i in range(0, n, step):
         a, b = np.triu_indices(min(step, n - i), 1, n - i)
+        if apart is not None:
+            other = apart[i + a] != apart[i + b]
+            a, b = a[other], b[other]
         good = linked(fps[i + a], fps[i + b], minimum, max_bits)
-        if good.any():
+        if apart is not None:
+            every.append((ids[i + a[good]], ids[i + b[good]]))
+        elif good.any():
             stars = spanning_edges(np.concatenate((stars[0], ids[i + a[good]])), np.concatenate((stars[1], ids[i + b[good]])))
-    return stars
+    return stars if apart is None else (np.concatenate([x for x, _ in every]), np.concatenate([y for _, y in every]))
 
 
-def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, short: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, apart: np.ndarray | None, minimum: int, max_bits: int, short: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all posting lists in sorted arrays: short lists together by distance in the list, long ones one by one."""
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes = np.diff(cuts)
@@ -134,28 +157,37 @@ def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, minimum:
     in_short = np.repeat(sizes <= short, sizes)
     for d in range(1, min(short, int(sizes.max(initial=0)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & in_short[:-d])
+        if apart is not None:
+            i = i[apart[i] != apart[i + d]]
         if len(i):
             good = linked(fps[i], fps[i + d], minimum, max_bits)
             out.append((ids[i[good]], ids[i[good] + d]))
     for k in np.flatnonzero(sizes > short):
         a, b = cuts[k], cuts[k + 1]
-        out.append(list_links(fps[a:b], ids[a:b], minimum, max_bits))
+        out.append(list_links(fps[a:b], ids[a:b], minimum, max_bits, apart=None if apart is None else apart[a:b]))
     return out
 
 
-def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets: list[tuple[int, ...]], block: int = 2048) -> DataFrame:
+def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets: list[tuple[int, ...]], block: int = 2048, carried: int | None = None, apart: str | None = None) -> DataFrame:
     """Links (u, v) between ``nodes`` (``fp`` distinct, ``node``) that span the components of
-    all pairs which share a key of ``sets``, ``minimum`` bytes, and differ in ``max_bits`` at most."""
+    all pairs which share a key of ``sets``, ``minimum`` bytes, and differ in ``max_bits`` at most.
+
+    Bytes and bits are those of the first ``carried`` words, if given. With a column ``apart``,
+    a long, all such pairs which differ in it instead of links that span them."""
+    carried = carried or size
+    extra = [] if apart is None else ["apart"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                keys = index_keys(packed(part.column(0), size), sets)
+                fps = packed(part.column(0), size)
+                keys = index_keys(fps, sets)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), len(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(rows), part.column(1).take(rows)], ["key", "fp", "node"])
+                short = pa.array([x.tobytes() for x in fps[:, :carried]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), short.take(rows), *(c.take(rows) for c in part.columns[1:])], ["key", "fp", "node", *extra])
 
-    postings = nodes.select("fp", "node").mapInArrow(post, "key long, fp binary, node long")
+    postings = nodes.select("fp", "node", *([] if apart is None else [F.col(apart).alias("apart")])).mapInArrow(post, "key long, fp binary, node long" + "".join(f", {x} long" for x in extra))
     long_lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / block).alias("blocks")))
     joined = postings.join(broadcast_if_small(long_lists), F.col("key") == F.col("long_key"), "left")
     own = F.coalesce(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")), F.lit(0))
@@ -163,21 +195,23 @@ def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets
     spread = joined.withColumn("own", own).withColumn("other", other)
     # a list's number: the key, and in long lists the pair of blocks
     number = F.shiftleft("key", 34) + F.shiftleft(F.least("own", "other"), 17) + F.greatest("own", "other")
-    dealt = spread.select(number.alias("list"), "fp", "node").repartition("list").sortWithinPartitions("list")
+    dealt = spread.select(number.alias("list"), "fp", "node", *extra).repartition("list").sortWithinPartitions("list")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            links = partition_links(*columns, minimum, max_bits)
+            links = partition_links(*columns[:3], columns[3] if extra else None, minimum, max_bits)
             u = np.concatenate([a for a, _ in links]) if links else np.empty(0, np.int64)
             v = np.concatenate([b for _, b in links]) if links else np.empty(0, np.int64)
-            if len(u):
+            if len(u) and extra:
+                u, v = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
+            elif len(u):
                 u, v = spanning_edges(u, v)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(0).to_numpy(), packed(batch.column(1), size), batch.column(2).to_numpy()]
+            columns = [batch.column(0).to_numpy(), packed(batch.column(1), carried), *(c.to_numpy() for c in batch.columns[2:])]
             if rest is not None:
                 columns = [np.concatenate((a, b)) for a, b in zip(rest, columns, strict=True)]
             if not len(columns[0]):
@@ -200,24 +234,76 @@ def packed(column: pa.Array, size: int) -> np.ndarray:
     return np.ascontiguousarray(raw[first : first + len(column) * size * 8]).view(np.uint64).reshape(-1, size)
 
 
-def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, size: int = 10, max_bits: int = 104, minimum: int | None = None, block: int = 2048) -> DataFrame:
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def similar_pairs(df: DataFrame, pairs: DataFrame, id_column: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v: ids), materialised, whose texts' sets of shingles have ``similarity`` at least.
+
+    Where an id has several texts, one pair of them is enough."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstd.ZstdCompressor(level=3)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                data = [tool.compress(b" ".join((t or "").encode().lower().split())) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["n", "words"])
+
+    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("end")).distinct())
+    own = df.select(F.col(id_column).cast("long").alias("n"), F.col(text).alias("t"))
+    chosen = own.join(broadcast_if_small(ends), F.col("n") == F.col("end"), "left_semi")
+    texts = stored(chosen.mapInArrow(words_of, "n long, words binary").distinct(), "pair-texts")
+    left = texts.select(own_key("n").alias("a"), F.col("words").alias("x"))
+    right = texts.select(own_key("n").alias("b"), F.col("words").alias("y"))
+    joined = pairs.join(left, F.col("u") == F.col("a")).join(right, F.col("v") == F.col("b")).select("u", "v", "x", "y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstd.ZstdDecompressor()
+        shingles = lru_cache(maxsize=16)(lambda data: np.unique(shingle_hashes(tool.decompress(data).split(), words)))
+        for batch in batches:
+            good = [similarity_of(shingles(x.as_py()), shingles(y.as_py())) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return cut(joined.mapInArrow(check, "u long, v long").distinct())
+
+
+def similar_components(df: DataFrame, nodes: DataFrame, id_column: str, text: str, words: int, size: int, max_bits: int, minimum: int, similarity: float, block: int) -> DataFrame:
+    """(node, component) of the links of ``similarity`` among the pairs that the index proposes."""
+    sets = [p for g in range(0, POSITIONS * size, GROUP) for p in combinations(range(g, min(g + GROUP, POSITIONS * size)), 2)]
+    options = {"block": block, "carried": min(CARRIED, size)}
+    proposed = cut(similar_links(nodes, size, max_bits, minimum, sets, **options).distinct())
+    links = similar_pairs(df, proposed, id_column, text, words, similarity)
+    component = connected_components(links, "u", "v")
+    ends = proposed.select(F.explode(F.array("u", "v")).alias("end")).distinct()
+    open_ = nodes.join(ends, F.col("node") == F.col("end"), "left_semi").join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    open_ = cut(open_.select("fp", "node", F.coalesce("component", "node").alias("component")))
+    across = similar_links(open_, size, max_bits, minimum, sets, apart="component", **options).distinct()
+    more = similar_pairs(df, cut(across.join(proposed, ["u", "v"], "left_anti")), id_column, text, words, similarity)
+    return connected_components(links.unionByName(more), "u", "v")
+
+
+def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, size: int = 10, max_bits: int = 40, minimum: int | None = None, similarity: float = 0.8, block: int = 2048) -> DataFrame:
     """The id, ``fingerprint`` (hex) and ``component_id``, the least id reachable over links.
 
-    The defaults link texts from a similarity of about 0.8 of their five-word shingles.
-    With ``size`` 1 all pairs within ``max_bits`` (6 at most) link."""
+    The defaults link texts whose sets of five-word shingles have a similarity of 0.8 at least.
+    With ``size`` 1 all pairs within ``max_bits`` (6 at most) link, and ``similarity`` isn't used."""
+    rows = cut(fingerprints(df, id_column, text, words, size))
+    # a fingerprint of rows without an id has no node to link by
+    nodes = rows.groupBy("fp").agg(F.min(id_column).cast("long").alias("node"))
+    known = nodes.where("node is not null")
     if size == 1:
         minimum = POSITIONS - max_bits
         if minimum < 2:
             raise ValueError("at most 6 bits: fewer than two positional bytes are guaranteed beyond that")
-        sets = position_sets(minimum, 3 if minimum >= 4 else 2)
+        links = similar_links(known, size, max_bits, minimum, position_sets(minimum, 3 if minimum >= 4 else 2), block)
+        component = connected_components(links, "u", "v", contracted=True)
     else:
-        minimum = size if minimum is None else minimum
-        sets = [(2 * i, 2 * i + 1) for i in range(4 * size)]
-    rows = cut(fingerprints(df, id_column, text, words, size))
-    # a fingerprint of rows without an id has no node to link by
-    nodes = rows.groupBy("fp").agg(F.min(id_column).cast("long").alias("node"))
-    links = similar_links(nodes.where("node is not null"), size, max_bits, minimum, sets, block)
-    component = connected_components(links, "u", "v", contracted=True).select(F.col("node").alias("n"), "component")
+        component = similar_components(df, known, id_column, text, words, size, max_bits, minimum or 0, similarity, block)
+    component = component.select(F.col("node").alias("n"), "component")
     group = nodes.join(component, F.col("node") == F.col("n"), "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "node").alias("component_id"))
     out = rows.join(group, F.col("fp") == F.col("group_fp"), "left")
     return out.select(id_column, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
