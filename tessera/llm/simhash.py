@@ -16,7 +16,7 @@ split into pairs of blocks, each a list of its own. Equal fingerprints are one n
 the start, so copies are never paired.
 
 Longer fingerprints are for a similarity (Jaccard, of the sets of shingles) at which no
-byte is sure to be shared. The index only proposes:
+byte is sure to be shared. Each distinct shingle votes once, and the index only proposes:
 
 * at 0.8 about 15 % of the bits differ. The 80 bytes of ten words fall into groups of
   five, indexed by all pairs in a group: 160 keys, of which two texts share one with
@@ -64,12 +64,14 @@ def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     return np.array([digest(s, seed) for s in shingles], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int, size: int = 1) -> np.ndarray:
-    """``size`` 64-bit words of one text's fingerprint."""
+def fingerprint(text: str | None, words: int, size: int = 1, once: bool = False) -> np.ndarray:
+    """``size`` 64-bit words of one text's fingerprint. A shingle votes as often as it stands, or ``once``."""
     out = np.zeros(size, dtype=np.uint64)
     hashes = shingle_hashes((text or "").encode().lower().split(), words)
     if not len(hashes):
         return out
+    if once:
+        hashes = np.unique(hashes)
     for w in range(size):
         ones = np.zeros(64, dtype=np.int64)
         for i in range(0, len(hashes), 1 << 13):
@@ -80,14 +82,14 @@ def fingerprint(text: str | None, words: int, size: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, size: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, size: int = 1, once: bool = False) -> DataFrame:
     """The id and ``fp``: the fingerprint's bytes, each word's highest first."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                fps = [fingerprint(t, words, size).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
+                fps = [fingerprint(t, words, size, once).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], [id_column, "fp"])
 
     return df.select(id_column, text).mapInArrow(kernel, f"{id_column} {df.schema[id_column].dataType.simpleString()}, fp binary")
@@ -291,7 +293,7 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     The defaults link texts whose sets of five-word shingles have a similarity of 0.8 at least.
     With ``size`` 1 all pairs within ``max_bits`` (6 at most) link, and ``similarity`` isn't used."""
-    rows = cut(fingerprints(df, id_column, text, words, size))
+    rows = cut(fingerprints(df, id_column, text, words, size, once=size > 1))
     # a fingerprint of rows without an id has no node to link by
     nodes = rows.groupBy("fp").agg(F.min(id_column).cast("long").alias("node"))
     known = nodes.where("node is not null")

@@ -40,6 +40,17 @@ def test_isolated_pairs_as_by_brute_force(spark):
     assert dropped(spark, pairs) == want
 
 
+def test_repeated_passages(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(30):
+        words = [f"w{rng.getrandbits(48)}" for _ in range(400)]
+        passage = words[100:130]
+        pairs.append((" ".join(words), " ".join(words[:130] + passage * 3 + words[130:])))
+    assert min(similarity(a, b) for a, b in pairs) > 0.9
+    assert all(dropped(spark, pairs))
+
+
 def test_a_chain_is_one_group_and_a_hub_links_nothing_by_itself(spark):
     rng = random.Random(10)
     word = lambda: f"w{rng.getrandbits(48)}"
