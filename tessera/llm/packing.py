@@ -28,9 +28,11 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -207,8 +209,19 @@ def rank_tool(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def rank_encoder(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """Encoders by a ``.tiktoken`` file's ranks; strings of special tokens are ordinary text."""
-    return lambda: lambda text: rank_tool(path, pattern).encode_to_numpy(text, disallowed_special=())
+    """Encoders by a ``.tiktoken`` file's ranks; strings of special tokens are ordinary text.
+
+    The library's own splitting fails on runs of about a million white-space characters;
+    a text that it refuses is split by ``regex`` and its pieces are merged one by one."""
+
+    def encode(text: str) -> np.ndarray:
+        tool = rank_tool(path, pattern)
+        try:
+            return tool.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return np.fromiter(chain.from_iterable(tool._encode_single_piece(m.group()) for m in regex.finditer(pattern, text)), dtype="<u4")
+
+    return lambda: encode
 
 
 def pack_documents(df: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024, id_column: str = "doc_id", text: str = "text") -> DataFrame:
