@@ -43,6 +43,8 @@ from tessera.llm.common import stored
 
 SHARD_ROWS = 16_384
 PASSED_ON = 8
+#: What the vocabulary's ``.json`` file has besides the ranks.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @dataclass(frozen=True)
@@ -209,12 +211,16 @@ def rank_tool(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def rank_encoder(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """Encoders by a ``.tiktoken`` file's ranks; strings of special tokens are ordinary text.
+    """Encoders by a ``.tiktoken`` file's ranks; the strings of ``ADDED`` tokens have their ids, as in the ``.json`` file.
 
     The library's own splitting fails on runs of about a million white-space characters;
     a text that it refuses is split by ``regex`` and its pieces are merged one by one."""
 
     def encode(text: str) -> np.ndarray:
+        for token, i in ADDED.items():
+            if token in text:
+                first, *rest = map(encode, text.split(token))
+                return np.concatenate([first, *(x for part in rest for x in (np.array([i], dtype="<u4"), part))])
         tool = rank_tool(path, pattern)
         try:
             return tool.encode_to_numpy(text, disallowed_special=())

@@ -13,3 +13,10 @@ def test_white_space_runs(text):
     encode = packing.rank_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)()
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert np.array_equal(encode(text), tool.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["ab <|endoftext|> cd", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|" + " " * 1_000_001 + "x<|endoftext|>"])
+def test_added_tokens(text):
+    encode = packing.rank_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)()
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.array_equal(encode(text), tool.encode(text, add_special_tokens=False).ids)
