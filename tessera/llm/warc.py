@@ -1,16 +1,18 @@
 """WARC records in Zstandard archives.
 
 An archive is a skippable frame with the dictionary, then one Zstandard frame for
-each record, as in the public ``.warc.zst`` convention. Archives are rows
-``(path, content)``, the shape of Spark's ``binaryFile`` source, so the reader takes
-files from any store that Spark reads. The writer gives the same rows.
+each record, as in the public ``.warc.zst`` convention. Archives are read as rows
+``(path, content)`` of Spark's ``binaryFile`` source, so from any store that Spark
+reads. The writer makes such rows, and :func:`save_archives` one object of each.
 
 The reader takes the dictionary from the leading skippable frame (trained, raw
-content, or itself compressed), decodes one frame for each record, and checks the
-version line, the required headers, Content-Length, the block's and the payload's
-digest. A record or archive that fails a check becomes a row with ``error`` set;
-nothing is dropped and nothing crashes. An archive without records, or without a
-dictionary, is valid.
+content, or itself compressed), finds each frame's end from its blocks' headers,
+decodes one frame for each record, and checks the version line, the required headers,
+Content-Length, the block's and the payload's digest. A record, frame, dictionary or
+archive that fails a check becomes a row with ``error`` set; nothing is dropped and
+nothing crashes. What can't be told apart any more (after a frame that is cut short, or
+all of an archive whose dictionary is broken) is one such row. An archive without
+records, or without a dictionary, is valid; skippable frames between records are passed over.
 
 Edge cases: a null payload counts as empty; equal payloads shorter than
 ``min_payload`` all stay responses; the smallest id of equal payloads is the
@@ -31,11 +33,13 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import work_path
+from tessera.llm.common import broadcast_if_small, cut, work_path
 
 #: Fixed values of the formats: magic numbers of skippable frames with dictionaries and data frames.
 SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
+#: A skippable frame of no bytes, which stands between records or at an object's end without a meaning.
+EMPTY_FRAME = "P*M\x18\0\0\0\0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-record-id", "warc-date", "warc-type", "content-length")
 
@@ -130,33 +134,63 @@ def digest_matches(stated: str, data: bytes) -> bool:
     return value.lower() == h.hexdigest() or value.upper() == base64.b32encode(h.digest()).decode().rstrip("=")
 
 
+def frame_end(content: bytes, at: int) -> int:
+    """Where the frame at ``at`` ends, by its blocks' headers; ValueError or ZstdError for what isn't whole."""
+    head = memoryview(content)[at : at + 18]
+    end, last = at + zstd.frame_header_size(head), 0
+    while not last:
+        if end + 3 > len(content):
+            raise ValueError("cut short")
+        block = int.from_bytes(content[end : end + 3], "little")
+        last, kind, n = block & 1, block >> 1 & 3, block >> 3
+        end += 3 + (1 if kind == 1 else n)
+    end += 4 * zstd.get_frame_parameters(head).has_checksum
+    if end > len(content):
+        raise ValueError("cut short")
+    return end
+
+
+def dictionary_of(body: bytes) -> zstd.ZstdCompressionDict:
+    """The dictionary in a leading skippable frame; ZstdError for a broken one."""
+    if struct.unpack_from("<I", body.ljust(4, b"\0"))[0] == FRAME_MAGIC:
+        tool = zstd.ZstdDecompressor().decompressobj()
+        body = tool.decompress(body)
+        if not tool.eof:
+            raise zstd.ZstdError("cut short")
+    dictionary = zstd.ZstdCompressionDict(body)
+    zstd.ZstdDecompressor(dict_data=dictionary).decompressobj()
+    return dictionary
+
+
 def read_archive(content: bytes) -> Iterator[bytes | str]:
-    """The decoded records of one archive, in order; a str tells what is wrong with the frame there."""
-    at, size, dictionary = 0, len(content), None
-    while size - at >= 8 and 0x184D2A50 <= struct.unpack_from("<I", content, at)[0] <= 0x184D2A5F:
-        magic, n = struct.unpack_from("<II", content, at)
-        if at + 8 + n > size:
-            yield "skippable frame is cut short"
-            return
-        if magic == SKIPPABLE_MAGIC and at == 0 and n:
-            body = content[8 : 8 + n]
-            if struct.unpack_from("<I", body.ljust(4, b"\0"))[0] == FRAME_MAGIC:
-                body = zstd.ZstdDecompressor().decompressobj().decompress(body)
-            dictionary = zstd.ZstdCompressionDict(body)
-        at += 8 + n
-    reader = zstd.ZstdDecompressor(dict_data=dictionary) if dictionary else zstd.ZstdDecompressor()
+    """The decoded records of one archive, in order; a str tells what is wrong with the frame there.
+
+    Every byte is looked at once, so the time is linear in the archive's size."""
+    at, size, reader, view = 0, len(content), zstd.ZstdDecompressor(), memoryview(content)
     while at < size:
-        one = reader.decompressobj()
+        magic, n = struct.unpack_from("<II", content, at) if size - at >= 8 else (0, 0)
+        if 0x184D2A50 <= magic <= 0x184D2A5F:
+            if at + 8 + n > size:
+                yield "skippable frame is cut short"
+                return
+            if magic == SKIPPABLE_MAGIC and at == 0 and n:
+                try:
+                    reader = zstd.ZstdDecompressor(dict_data=dictionary_of(content[8 : 8 + n]))
+                except (zstd.ZstdError, MemoryError) as e:
+                    yield f"dictionary: {e}"
+                    return
+            at += 8 + n
+            continue
         try:
-            data = one.decompress(memoryview(content)[at:])
-        except zstd.ZstdError as e:
+            end = frame_end(content, at)
+        except (zstd.ZstdError, ValueError) as e:
             yield f"frame at byte {at}: {e}"
             return
-        if not one.eof:
-            yield f"frame at byte {at} is cut short"
-            return
-        at = size - len(one.unused_data)
-        yield data
+        try:
+            yield reader.decompressobj().decompress(view[at:end])
+        except (zstd.ZstdError, MemoryError) as e:
+            yield f"frame at byte {at}: {e}"
+        at = end
 
 
 class ArchiveWriter:
@@ -211,15 +245,15 @@ class ArchiveWriter:
 def mark_revisits(pages: DataFrame, id_column: str = "page_id", payload: str = "html", min_payload: int = 100) -> DataFrame:
     """Adds ``payload`` (binary), ``payload_digest`` and ``refers_to`` (null for responses).
 
-    Only digests are grouped, with a partial minimum before the exchange; the join
-    back carries the rows, and the engine splits the partition of a hot digest.
+    Only digests are grouped, with a partial minimum before the exchange, and only those
+    of several pages are looked up: broadcast if counted few, else joined by exchange,
+    where the engine splits the partition of a hot digest.
     """
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col("url"), body.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = (
-        rows.where(F.length("payload") >= min_payload).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
-    rows = rows.join(first, rows["payload_digest"] == first["d"], "left")
+    known = rows.where(F.length("payload") >= min_payload).groupBy(F.unhex("payload_digest").alias("d"))
+    first = cut(known.agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    rows = rows.join(broadcast_if_small(first), F.unhex("payload_digest") == F.col("d"), "left")
     return rows.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("d", "first_id")
 
 
@@ -242,6 +276,13 @@ def write_archives(records: DataFrame, date: str = "2024-01-01T00:00:00Z", archi
     return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(kernel, ARCHIVE_SCHEMA)
 
 
+def save_archives(archives: DataFrame, where: str) -> None:
+    """One object of each row of :func:`write_archives` below ``where``, on any store that Spark writes.
+
+    Spark's text writer puts out the bytes as they are and a separator, which here is an empty skippable frame."""
+    archives.select(F.col("content").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(where)
+
+
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record of the archives ``(path, content)``; ``error`` is null for a valid one."""
 
@@ -275,9 +316,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", payload: str = "html", min_payload: int = 100) -> DataFrame:
-    """Writes a record for each page into archives in the shared folder and reads those back."""
+    """Writes a record for each page into archive objects in the shared folder and reads those back."""
     spark = pages.sparkSession
     where = work_path(spark, "warc")
-    records = mark_revisits(pages, id_column, payload, min_payload)
-    write_archives(records).write.option("compression", "none").parquet(where)
-    return read_archives(spark.read.parquet(where), with_payload=False)
+    save_archives(write_archives(mark_revisits(pages, id_column, payload, min_payload)), where)
+    return read_archives(spark.read.format("binaryFile").load(where), with_payload=False)

@@ -1,12 +1,16 @@
 """Edge cases of the operators on tables of a few rows."""
 
+import hashlib
 import re
+import struct
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard as zstd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -133,8 +137,6 @@ def test_archive_round_trip_and_faults(spark):
     (lambda r: r.replace(b"hello", b"jello"), "digest"),
 ])
 def test_records_are_validated(change, said):
-    import hashlib
-
     record = warc.build_record("response", warc.record_urn(5), "http://a/", b"hello", hashlib.sha256(b"hello").hexdigest(), "2024-01-01T00:00:00Z")
     assert warc.parse_record(record)["payload"] == b"hello"
     with pytest.raises(ValueError, match=said):
@@ -316,3 +318,51 @@ def test_bloom_never_misses(spark):
     hits = both.where(urlfilter.possibly_listed(both, "u", words))
     assert hits.where("id < 5000").count() == 5000
     assert hits.where("id >= 5000").count() < 150
+
+
+def archive_of(payloads, **options):
+    writer = warc.ArchiveWriter("x", **{"archive_bytes": 1 << 40, "dict_bytes": 4096, "sample_bytes": 1 << 18, "level": 3} | options)
+    for i, p in enumerate(payloads):
+        writer.add(warc.build_record("response", warc.record_urn(i), "http://a/", p, hashlib.sha256(p).hexdigest(), "2024-01-01T00:00:00Z"))
+    return writer.close()[1]
+
+
+def test_reading_time_is_linear_in_the_archive():
+    rng = np.random.default_rng(3)
+    content = archive_of(rng.bytes(700) for _ in range(20_000))
+    frames = content[content.index(b"\x28\xb5\x2f\xfd", 4096) :]
+    head = content[: len(content) - len(frames)]
+    seconds = []
+    for times in (1, 8):
+        began = time.perf_counter()
+        assert sum(isinstance(x, bytes) for x in warc.read_archive(head + frames * times)) >= 19_000 * times
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * 4 * seconds[0]
+
+
+def test_broken_dictionaries_and_frames_are_errors():
+    content = archive_of([b"hello world %d" % i for i in range(50)])
+    n = struct.unpack_from("<I", content, 4)[0]
+    frames = content[8 + n :]
+    leading = lambda body: struct.pack("<II", warc.SKIPPABLE_MAGIC, len(body)) + body
+    plain = content[8 : 8 + n]
+    for body in (struct.pack("<I", 0xEC30A437) + b"x" * 40, struct.pack("<I", warc.FRAME_MAGIC) + b"x" * 40, zstd.compress(plain)[:-3]):
+        got = list(warc.read_archive(leading(body) + frames))
+        assert len(got) == 1 and got[0].startswith("dictionary")
+    assert len([x for x in warc.read_archive(leading(zstd.compress(plain)) + frames) if isinstance(x, bytes)]) == 50
+    # a broken frame hides no other one; skippable frames may stand between
+    second = warc.frame_end(frames, 0)
+    broken = bytearray(frames)
+    broken[second - 6] ^= 0xFF
+    got = list(warc.read_archive(leading(plain) + bytes(broken[:second]) + warc.EMPTY_FRAME.encode() + bytes(broken[second:])))
+    assert isinstance(got[0], str) and all(isinstance(x, bytes) for x in got[1:]) and len(got) == 50
+    assert [isinstance(x, str) for x in warc.read_archive(frames[: second - 9])] == [True]
+
+
+def test_archives_are_objects(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} é " * 40) for i in range(300)], "page_id long, url string, html string").repartition(3)
+    warc.save_archives(warc.write_archives(warc.mark_revisits(pages), archive_bytes=4000, sample_bytes=2000), str(tmp_path / "warc"))
+    files = [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 3
+    records = [r for p in files for r in warc.read_archive(p.read_bytes())]
+    assert len(records) == 300 and all(b"WARC/1.1" in r[:9] for r in records)
