@@ -3,7 +3,9 @@
 A text's bytes get one running polynomial hash; differences of it are the hashes of
 words and lines, and those of the words, combined, are the hashes of n-grams of
 several lengths. From these the characters inside duplicated n-grams and lines are
-measured, with numpy over many texts at a time.
+measured, with numpy over many texts at a time. Equal hashes only propose: words and
+lines are compared by their bytes, n-grams by their words, and where a hash fits two
+different ones, the keys are made anew from the content. So the counts are exact.
 
 Words are runs of bytes other than space and 0x09-0x0D; characters are code points.
 An n-gram or line counts as duplicated from its second place in the text on.
@@ -15,8 +17,9 @@ its own group. Other columns of the input aren't returned; join by the id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +92,66 @@ def span_hash(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.nd
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: whether it occurs twice or more, and whether it occurred before."""
+def neighbours(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, and (before, after) of each two that are next to each other there and equal."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    return order, order[:-1][same], order[1:][same]
+
+
+def occurrences(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], bool] | None = None, exact: Callable[[], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: whether it occurs twice or more, and whether it occurred before.
+
+    ``equal`` says of pairs of equal keys whether all of them are equal in truth; if not, ``exact()`` gives true keys."""
     again, before = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     if len(keys) > 1:
-        order = np.argsort(keys, kind="stable")
-        same = keys[order[1:]] == keys[order[:-1]]
-        before[order[1:][same]] = True
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
+        _, i, j = neighbours(keys)
+        if equal is not None and len(i) and not equal(i, j):
+            _, i, j = neighbours(exact())
+        before[j] = True
+        again[j] = True
+        again[i] = True
     return again, before
 
 
+def equal_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, long: int = 4096) -> bool:
+    """Whether each span of ``length`` at ``a`` holds the same bytes as that at ``b``."""
+    for i, j, n in zip(*(x[length > long].tolist() for x in (a, b, length)), strict=True):
+        if not np.array_equal(raw[i : i + n], raw[j : j + n]):
+            return False
+    short = length <= long
+    a, b, length = a[short], b[short], length[short]
+    total = np.concatenate(([0], np.cumsum(length)))
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + GROUP_BYTES, side="right")) - 1)
+        n = length[at:end]
+        step = np.arange(total[end] - total[at]) - np.repeat(total[at:end] - total[at], n)
+        if (raw[np.repeat(a[at:end], n) + step] != raw[np.repeat(b[at:end], n) + step]).any():
+            return False
+        at = end
+    return True
+
+
+def number_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of spans by their bytes, through a table of all different ones."""
+    numbers: dict[bytes, int] = {}
+    return np.array([numbers.setdefault(raw[a:b].tobytes(), len(numbers)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.int64)
+
+
+def word_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word; equal numbers exactly for equal bytes."""
+    order, i, j = neighbours(hashes)
+    length = end - start
+    if not (np.array_equal(length[i], length[j]) and equal_bytes(raw, start[i], start[j], length[i])):
+        return number_spans(raw, start, end)
+    new = np.ones(len(hashes), dtype=np.int64)
+    new[j] = 0
+    out = np.empty(len(hashes), dtype=np.int64)
+    out[order] = np.cumsum(new[order]) - 1
+    return out
+
+
 def covered(first: np.ndarray, n: int, words: int) -> np.ndarray:
     """Which words lie in one of the n-word windows that start at ``first``."""
     change = np.zeros(words + 1, dtype=np.int32)
@@ -144,10 +195,16 @@ def measure(raw: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> di
     # a line feed at a text's end starts an empty line there, which belongs to that text and has no word
     with_word = points[line_end] > points[line_start]
     ls, le, lt = line_start[with_word], line_end[with_word], line_text[with_word]
-    _, earlier = occurrences(span_hash(total, down, ls, le) ^ mix(lt.astype(np.uint64) + np.uint64(1)))
+    _, earlier = occurrences(
+        span_hash(total, down, ls, le) ^ mix(lt.astype(np.uint64) + np.uint64(1)),
+        lambda i, j: np.array_equal(lt[i], lt[j]) and np.array_equal((le - ls)[i], (le - ls)[j]) and equal_bytes(raw, ls[i], ls[j], (le - ls)[i]),
+        lambda: number_spans(raw, ls, le) * n + lt,
+    )
     out["n_dup_lines"] = np.bincount(lt[earlier], minlength=n)[:n]
     out["dup_line_chars"] = np.bincount(lt[earlier], weights=(points[le] - points[ls])[earlier], minlength=n)[:n].astype(np.int64)
 
+    numbers = word_numbers(raw, start, end, word)
+    word = mix(numbers.astype(np.uint64) + np.uint64(1))
     gram, length = word, 1
     for want in sorted({3, *ngrams}):
         while length < want:
@@ -159,7 +216,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> di
         if len(word) >= want:
             inside[: len(word) - want + 1] = text_of[want - 1 :] == text_of[: len(word) - want + 1]
         place = np.flatnonzero(inside)
-        again, earlier = occurrences((gram ^ salt)[place])
+        again, earlier = occurrences((gram ^ salt)[place], partial(equal_grams, numbers, text_of, place, want), partial(number_grams, numbers, text_of, place, want))
         if want == 3:
             first = np.zeros(len(word), dtype=bool)
             first[place[again]] = True
@@ -171,6 +228,18 @@ def measure(raw: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> di
     return out
 
 
+def equal_grams(numbers: np.ndarray, text_of: np.ndarray, place: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> bool:
+    """Whether each two n-grams stand in one text and have the same words."""
+    a, b = place[i], place[j]
+    return np.array_equal(text_of[a], text_of[b]) and all(np.array_equal(numbers[a + k], numbers[b + k]) for k in range(n))
+
+
+def number_grams(numbers: np.ndarray, text_of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of n-grams by their words and text."""
+    rows = np.column_stack((text_of[place], *(numbers[place + k] for k in range(n))))
+    return np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+
+
 def judge(m: dict[str, np.ndarray], limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """``base_failed`` and ``kept`` for each text."""
     failed = (m["n_words"] < limits.min_words) | (100 * m["n_repeat_words"] > limits.max_repeat * m["n_words"])

@@ -91,6 +91,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+#: Coverage of words by windows of ``n``: from window ``k`` of a kind on.
+OP4_GRAMS = """
+g{n} AS (SELECT doc_id, ws, i, {which} FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {n} + 1)) AS i FROM w) QUALIFY {test}),
+c{n} AS (SELECT doc_id, {what} AS v FROM (SELECT DISTINCT doc_id, p, length(ws[p]) AS chars FROM (SELECT doc_id, ws, unnest(generate_series(i, i + {n} - 1)) AS p FROM g{n})) GROUP BY doc_id),"""
+OP4_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),"""
+    + OP4_GRAMS.format(n=3, which="count(*) OVER (PARTITION BY doc_id, ws[i:i + 2]) AS k", test="k > 1", what="count(*)")
+    + "".join(OP4_GRAMS.format(n=n, which=f"row_number() OVER (PARTITION BY doc_id, ws[i:i + {n - 1}] ORDER BY i) AS k", test="k > 1", what="CAST(sum(chars) AS BIGINT)") for n in (5, 7, 10))
+    + r"""
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]')),
+dup AS (SELECT doc_id, count(*) AS n, CAST(sum(length(regexp_replace(line, '[ 	-
+]', '', 'g'))) AS BIGINT) AS chars FROM l WHERE k > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(c3.v, 0) AS n_repeat_words, coalesce(dup.chars, 0) AS dup_line_chars,
+    coalesce(c5.v, 0) AS dup_5gram_chars, coalesce(c7.v, 0) AS dup_7gram_chars, coalesce(c10.v, 0) AS dup_10gram_chars
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN c3 ON w.doc_id = c3.doc_id LEFT JOIN c5 ON w.doc_id = c5.doc_id LEFT JOIN c7 ON w.doc_id = c7.doc_id LEFT JOIN c10 ON w.doc_id = c10.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= 0.3::DOUBLE * word_chars AND dup_5gram_chars <= 0.25::DOUBLE * word_chars
+  AND dup_7gram_chars <= 0.22::DOUBLE * word_chars AND dup_10gram_chars <= 0.2::DOUBLE * word_chars AS kept
+FROM f
+"""
+)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits on labelled documents outside fold 0 of 5, grades every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_audio": op9_audio,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_url_filter": OP7_SQL}

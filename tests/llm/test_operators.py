@@ -366,3 +366,30 @@ def test_archives_are_objects(spark, tmp_path):
     assert len(files) > 3
     records = [r for p in files for r in warc.read_archive(p.read_bytes())]
     assert len(records) == 300 and all(b"WARC/1.1" in r[:9] for r in records)
+
+
+def thue_morse(n):
+    return bytes(b"ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_rules_where_hashes_collide():
+    one = thue_morse(2048)
+    two = bytes(b"ab"[c == 97] for c in one)
+    text = (one + b"\n" + two).decode()
+    words = text.replace("\n", " ")
+    for t in (text, f"{words} x y {words}", " ".join([words] * 3)):
+        raw, offsets = text_bytes(pa.array([t, "b a"], pa.string()))
+        m = quality_rules.measure(raw, offsets, (5,))
+        assert [m[c][0] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == brute_rules(t)
+
+
+@given(st.lists(st.text(alphabet="ab \n", max_size=60), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_rules_without_any_hash(texts):
+    # every hash the same: only the comparison of contents tells
+    raw, offsets = text_bytes(pa.array(texts, pa.string()))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality_rules, "mix", lambda h: np.zeros_like(h))
+        m = quality_rules.measure(raw, offsets, (5,))
+    assert np.column_stack([m[c] for c in names]).tolist() == [brute_rules(t) for t in texts]
