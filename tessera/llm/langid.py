@@ -3,9 +3,11 @@
 Each language has a raw-content Zstandard dictionary made of sample texts. A text is
 reduced to its letters (lower case, everything else one space) and compressed in
 blocks with each dictionary; the language whose blocks are smallest in total wins. A
-narrow margin to the second is a rejection. Sizes are whole bytes, so a short text is
-compressed behind more sample text of the language, and that text's own size is
-subtracted.
+narrow margin to the second is a rejection. Sizes are whole bytes and each frame has
+some bytes of its own, which is most of what a text of a few words compresses to: alone,
+all languages tie. So a text of less than ``SHORT`` bytes is compressed behind more sample
+text of the language, and that text's own size is subtracted. For longer texts that
+context would cost time and tell nothing more, and they fill blocks by themselves.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; texts of any
 length are compressed whole, block by block; ties go to the alphabetically first
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = regex.compile(r"\p{L}")
@@ -33,27 +35,26 @@ SHORT = 300
 def letters(text: str) -> bytes:
     """What is compressed of a text."""
     return OTHER.sub(" ", text).lower().encode()
+
+
 SCHEMA = "lang_pred string, lang_best string, score double, margin double, rejected boolean"
 
 
-def sample_texts(train: DataFrame, text: str, lang: str, dict_bytes: int, rows_per_lang: int, max_chars: int, max_langs: int) -> dict[str, bytes]:
-    """Sample bytes of each language.
+def sample_texts(train: DataFrame, text: str, lang: str, rows_per_lang: int) -> dict[str, bytes]:
+    """Sample bytes of every language that has a labelled text with a letter.
 
-    A bounded sample: of the texts of at most ``max_chars`` characters, about
-    ``rows_per_lang`` for each of the ``max_langs`` most frequent languages, chosen
-    by a hash of the text, and of those whole texts up to ``dict_bytes``.
-    """
-    usable = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars) & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
-    share = F.lit(0.0)
-    for name, n in counts:
-        share = F.when(F.col("l") == name, F.lit(min(1.0, rows_per_lang / n))).otherwise(share)
+    A bounded sample: ``rows_per_lang`` different texts of each language at most, those
+    with the least hashes, each of them whole."""
     key = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30))
-    rows = usable.where(key < share * (1 << 30)).select("l", "t", key.alias("k")).dropDuplicates(["l", "t"]).orderBy("k", "t").limit(2 * rows_per_lang * max_langs).collect()
+    usable = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t")).withColumn("k", key)
+    # about four times as many pass by their hash, so the window below has few rows a language
+    bound = usable.groupBy("l").agg(F.approx_count_distinct("k").alias("n")).select("l", (4.0 * rows_per_lang * (1 << 30) / F.col("n")).alias("below"))
+    near = usable.join(F.broadcast(bound), "l").where(F.col("k") < F.col("below")).select("l", "k", "t").distinct()
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= rows_per_lang)
     parts: dict[str, list[bytes]] = {}
-    for name, t, _ in rows:
+    for name, t in first.orderBy("l", "r").select("l", "t").collect():
         parts.setdefault(name, []).append(letters(t))
-    return {name: b" ".join(x)[:dict_bytes] for name, x in sorted(parts.items())}
+    return {name: b" ".join(x) for name, x in parts.items()}
 
 
 class Packer:
@@ -62,7 +63,8 @@ class Packer:
     def __init__(self, sample: bytes, context_bytes: int):
         context_bytes = min(context_bytes, len(sample) // 4)
         cut = len(sample) - context_bytes
-        options = zstd.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=3, strategy=zstd.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)
+        reach = max(18, min(27, (len(sample) + 4096).bit_length()))
+        options = zstd.ZstdCompressionParameters(window_log=reach, hash_log=16, chain_log=16, search_log=3, min_match=3, strategy=zstd.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)
         shared = zstd.ZstdCompressionDict(sample[:cut], dict_type=zstd.DICT_TYPE_RAWCONTENT)
         shared.precompute_compress(compression_params=options)
         self.tool = zstd.ZstdCompressor(dict_data=shared, compression_params=options)
@@ -110,6 +112,6 @@ def predict_languages(df: DataFrame, samples: dict[str, bytes], id_column: str =
     return df.select(id_column, text).mapInArrow(kernel, f"{id_column} {id_type}, {SCHEMA}")
 
 
-def identify_languages(df: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", dict_bytes: int = 64 << 10, rows_per_lang: int = 300, max_chars: int = 8000, max_langs: int = 64, **options: object) -> DataFrame:
+def identify_languages(df: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 40, **options: object) -> DataFrame:
     """:func:`sample_texts` of ``train``, then :func:`predict_languages` of ``df``."""
-    return predict_languages(df, sample_texts(train, text, lang, dict_bytes, rows_per_lang, max_chars, max_langs), id_column, text, **options)
+    return predict_languages(df, sample_texts(train, text, lang, rows_per_lang), id_column, text, **options)
