@@ -9,11 +9,12 @@ Features of a text, each counted once: hashes of its words (A-Z lower-cased), of
 first 4 and 6 bytes, of two closing bytes that aren't letters or digits, the share of
 distinct words in tenths, and the number of words by powers of two.
 
-Fitting takes a bounded sample (``per_grade`` rows of each grade at most, of texts of
-at most ``max_chars`` characters, chosen by a hash of the id); scoring takes all rows
-and whole texts. Edge cases: rows with a null text or grade aren't fitted; a null or
-empty text is scored by its length feature alone; with fewer than two grades in the
-sample every row gets the same prediction; repeated rows count as often as they occur.
+Fitting takes a bounded sample (``per_grade`` ids of each grade at most, those with the
+least hashes, and whole texts); scoring takes all rows and whole texts. Edge cases: rows
+with a null text or grade aren't fitted; a null or empty text is scored by its length
+feature alone; with fewer than two grades in the sample every row gets the same
+prediction; an id that repeats is fitted once, by its least list of features, and scored
+row by row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep_rows, row_ranges, text_bytes
@@ -80,34 +81,38 @@ def hashed_features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | N
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def feature_rows(df: DataFrame, text: str, grade: str) -> DataFrame:
-    """``grade`` and ``buckets`` of each row."""
+def feature_rows(df: DataFrame, id_column: str, text: str, grade: str) -> DataFrame:
+    """The id, ``grade`` and ``buckets`` of each row."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
+            raw, offsets = text_bytes(batch.column(2))
             for a, b in row_ranges(offsets, GROUP_BYTES):
                 texts, buckets = hashed_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cuts = np.searchsorted(texts, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(cuts), pa.array(buckets.astype(np.int32)))], ["grade", "buckets"])
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(buckets.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], [id_column, "grade", "buckets"])
 
-    return df.select(F.col(grade).cast("double").alias("grade"), text).mapInArrow(kernel, "grade double, buckets array<int>")
+    kind = df.schema[id_column].dataType.simpleString()
+    return df.select(id_column, F.col(grade).cast("double").alias("grade"), text).mapInArrow(kernel, f"{id_column} {kind}, grade double, buckets array<int>")
 
 
-def training_sample(docs: DataFrame, marks: DataFrame, id_column: str, text: str, grade: str, per_grade: int, max_chars: int, max_grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[float, int]]:
+def training_sample(docs: DataFrame, marks: DataFrame, id_column: str, text: str, grade: str, per_grade: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[float, int]]:
     """Grades, row cuts and buckets of the sample, and how many rows each grade has in all.
 
-    The ids are chosen among the marks, so the sample that is broadcast has at most
-    ``2 * per_grade * max_grades`` rows of an id and a grade, and no text is shuffled."""
-    marks = marks.where(F.col(grade).isNotNull()).select(F.col(id_column).alias("__id"), F.col(grade).cast("double").alias("__grade"))
-    counts = dict(marks.groupBy("__grade").count().orderBy(F.desc("count"), "__grade").limit(max_grades).collect())
-    share = F.lit(0.0)
+    The ids are chosen among the marks, so what is broadcast has at most ``per_grade`` rows
+    of an id and a grade for each grade, and no text is shuffled."""
+    key = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30))
+    marks = marks.where(F.col(grade).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(grade).cast("double").alias("__grade"))
+    counts = dict(marks.groupBy("__grade").count().collect())
+    bound = F.lit(0.0)
     for g, n in counts.items():
-        share = F.when(F.col("__grade") == g, F.lit(min(1.0, per_grade / n))).otherwise(share)
-    bound = 2 * per_grade * max(1, len(counts))
-    chosen = marks.where(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).limit(bound)
-    texts = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(id_column).alias("__key"), F.col(text).alias("__text"))
-    rows = feature_rows(texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")), "__text", "__grade").limit(bound).toArrow()
+        bound = F.when(F.col("__grade") == g, F.lit(2.0 * per_grade * (1 << 30) / n)).otherwise(bound)
+    near = marks.withColumn("__k", key).where(F.col("__k") < bound)
+    chosen = near.withColumn("__r", F.row_number().over(Window.partitionBy("__grade").orderBy("__k", "__id"))).where(F.col("__r") <= per_grade).select("__id", "__grade")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("__key"), F.col(text).alias("__text"))
+    rows = feature_rows(texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")), "__key", "__text", "__grade")
+    rows = rows.groupBy("__key", "grade").agg(F.min("buckets").alias("buckets")).toArrow().sort_by("__key")
     lists = rows["buckets"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -169,9 +174,9 @@ def fit(y: np.ndarray, cuts: np.ndarray, buckets: np.ndarray, counts: dict[float
     return Model(grades, theta, weights)
 
 
-def fit_classifier(docs: DataFrame, marks: DataFrame, id_column: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2500, max_chars: int = 40_000, max_grades: int = 16, **options: float) -> Model:
+def fit_classifier(docs: DataFrame, marks: DataFrame, id_column: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2500, **options: float) -> Model:
     """A model of the rows of ``docs`` that ``marks`` (id, grade; one row for each id) grades."""
-    y, cuts, buckets, counts = training_sample(docs, marks, id_column, text, grade, per_grade, max_chars, max_grades)
+    y, cuts, buckets, counts = training_sample(docs, marks, id_column, text, grade, per_grade)
     return fit(y, cuts, buckets, counts, **options)
 
 
