@@ -3,7 +3,9 @@
 The list is tested in two steps. A blocked Bloom filter (one 64-byte block per
 URL, eight bits in it) passes every listed URL and few others; the rows that it
 passes go to an exact hash join with the list, which removes the false
-positives. Rows that it stops are never shuffled.
+positives. A list that is counted small is broadcast, so rows are read once and never
+shuffled; with a longer one the rows that pass are shuffled to it, and those that the
+filter stops come from a second reading.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no
 canonical form, no rule and the verdict ``allow``. Repeated rows are judged one
@@ -14,6 +16,7 @@ input other than the URL pass through; ``host``, ``path``, ``rule``,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 BLOCK_BITS = 512
 PROBES = 8
 #: Query parameters that only track a visit.
@@ -50,20 +55,20 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def with_rules(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """Adds ``host``, ``path``, ``rule`` and ``rule_verdict``.
+def with_rules(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", verdict_name: str = "rule_verdict") -> DataFrame:
+    """Adds ``host``, ``path``, ``rule`` and the rule's verdict.
 
     ``rules``: (verdict, host, path). A rule fits its host and all subdomains where
     the path starts with the rule's path; the longest host and path together wins,
     then the alphabetically first.
     """
-    df = df.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    host_of, path_of = url_host(F.col(url)), url_path(F.col(url))
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(c) for c in r[1] + r[2]])):
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
+        fits = ((host_of == host) | host_of.endswith("." + host)) & path_of.startswith(path)
         name = F.when(fits, F.lit(host + path)).otherwise(name)
         verdict = F.when(fits, F.lit(kind)).otherwise(verdict)
-    return df.withColumns({"rule": name, "rule_verdict": verdict})
+    return df.withColumns({"host": host_of, "path": path_of, "rule": name, verdict_name: verdict})
 
 
 def bit_picks(h: Column) -> list[Column]:
@@ -121,22 +126,25 @@ def possibly_listed(df: DataFrame, column: str, words: np.ndarray) -> Column:
     return probe(h, F.pmod(F.xxhash64(h), F.lit(blocks)), F.xxhash64(h, F.lit(0)), F.xxhash64(h, F.lit(1)))
 
 
-def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], listed: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], listed: DataFrame, url: str = "url", default: str = "allow", broadcast_rows: int = 500_000) -> DataFrame:
     """Judges every row of ``df``.
 
     ``listed``: one string column of URLs in any form. Adds ``host``, ``path``,
     ``canonical``, ``rule`` (null where none fits), ``listed`` and ``verdict``: the
     rule's, else ``block`` for a listed URL, else ``default``.
     """
-    mark = "__listed_url"
+    mark, possible, ruled = (f"__{uuid.uuid4().hex}" for _ in range(3))
     name = listed.columns[0]
-    listed = listed.select(canonical_url(F.col(name)).alias(mark)).where(F.col(mark).isNotNull()).distinct()
+    listed = listed.select(canonical_url(F.col(name)).alias(mark)).where(F.col(mark).isNotNull())
+    listed = cut(listed.distinct())
     words = build_filter(listed, mark)
-    judged = with_rules(df, rules, url).withColumn("canonical", canonical_url(F.col(url)))
-    judged = judged.withColumn("__possible", possibly_listed(judged, "canonical", words))
-    no = judged.where(~F.col("__possible")).withColumn("listed", F.lit(False))
-    maybe = judged.where(F.col("__possible"))
-    exact = maybe.join(listed.hint("shuffle_hash"), maybe["canonical"] == listed[mark], "left").withColumn("listed", F.col(mark).isNotNull()).drop(mark)
-    out = no.unionByName(exact).drop("__possible")
-    verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("listed"), "block").otherwise(F.lit(default)))
-    return out.withColumn("verdict", verdict).drop("rule_verdict")
+    url_column = f"__{uuid.uuid4().hex}"
+    judged = with_rules(df.withColumn(url_column, F.col(url)), rules, url_column, ruled).withColumn("canonical", canonical_url(F.col(url_column))).drop(url_column)
+    judged = judged.withColumn(possible, possibly_listed(judged, "canonical", words))
+    if listed.count() <= broadcast_rows:
+        out = judged.join(F.broadcast(listed), F.col(possible) & (F.col("canonical") == F.col(mark)), "left").withColumn("listed", F.col(mark).isNotNull()).drop(mark)
+    else:
+        exact = judged.where(F.col(possible)).join(listed.hint("shuffle_hash"), F.col("canonical") == F.col(mark), "left").withColumn("listed", F.col(mark).isNotNull()).drop(mark)
+        out = judged.where(~F.col(possible)).withColumn("listed", F.lit(False)).unionByName(exact)
+    verdict = F.coalesce(F.col(ruled), F.when(F.col("listed"), "block").otherwise(F.lit(default)))
+    return out.withColumn("verdict", verdict).drop(possible, ruled)
