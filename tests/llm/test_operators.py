@@ -311,6 +311,60 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df, rules, listed.limit(0)).where("listed").count() == 0
 
 
+def test_urls_with_clashing_columns_and_a_long_list(spark):
+    names = ("rule_verdict", "__listed_url", "__possible", "canonical", "host")
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", *["own"] * 5) for i in range(60)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    listed = df.where("page_id % 3 = 0").select("url")
+    for most in (0, 1000):
+        got = urlfilter.filter_urls(df, (), listed, broadcast_rows=most)
+        rows = got.collect()
+        assert len(rows) == 60 and all((r.rule_verdict, r["__listed_url"], r["__possible"]) == ("own",) * 3 for r in rows)
+        assert {r.page_id for r in rows if r.verdict == "block"} == set(range(0, 60, 3))
+        assert {r.canonical for r in rows} == {f"a.com/{i}" for i in range(60)} and {r.host for r in rows} == {"a.com"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"l{k}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}x" for w in "abcdefghij" * (2000 if k == 3 else 6)), k) for k in range(80)]
+    df = spark.createDataFrame([(l, t + " " + "q" * i) for l, t, _ in rows for i in range(3)] + [(None, "x"), ("zz", None), ("yy", "12 34")], "lang string, text string")
+    got = langid.sample_texts(df, "text", "lang", 2)
+    assert set(got) == {f"l{k}" for k in range(80)}
+    assert len(got["l3"]) > 100_000
+
+
+def test_every_grade_and_length_is_fitted(spark):
+    df = spark.createDataFrame([(i, f"grade{i % 20} " * (12_000 if i % 20 == 7 else 3), i % 20) for i in range(200)], "doc_id long, text string, grade int")
+    model = ordinal.fit_classifier(df, df.select("doc_id", "grade"), per_grade=5)
+    assert model.grades == tuple(map(float, range(20)))
+    y, cuts, _, counts = ordinal.training_sample(df.union(df), df, "doc_id", "text", "grade", 5)
+    assert sorted(y) == sorted(list(range(20)) * 5) and len(cuts) == 101 and set(counts.values()) == {10}
+
+
+def test_gradient_of_the_ordinal_fit():
+    # the fitted loss is at a minimum in every direction tried by finite differences
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (300, 4))
+    level = np.clip((x @ [2, -1, 1, 0] + rng.normal(0, 1, 300) + 1).astype(int), 0, 2)
+    rows, cols = np.nonzero(x)
+    cuts = np.concatenate(([0], np.cumsum(x.sum(axis=1))))
+    model = ordinal.fit(level.astype(float), cuts, cols, {0.0: 100, 1.0: 100, 2.0: 100}, rounds=4000, rate=0.5, l1=0.0, least=1, z=0.0)
+    seen = np.bincount(level, minlength=3)
+
+    def loss(w, theta):
+        tail = np.column_stack((np.ones(300), 1 / (1 + np.exp(theta[None, :] - (x @ w)[:, None])), np.zeros(300)))
+        p = tail[np.arange(300), level] - tail[np.arange(300), level + 1]
+        return -(np.log(p) / seen[level] / 3).sum()
+
+    w, theta = model.weights[:4].copy(), model.thresholds.copy()
+    for array in (w, theta):
+        for k in range(len(array)):
+            array[k] += 1e-4
+            up = loss(w, theta)
+            array[k] -= 2e-4
+            down = loss(w, theta)
+            array[k] += 1e-4
+            assert abs(up - down) / 2e-4 < 2e-3
+
+
 def test_bloom_never_misses(spark):
     listed = spark.range(5000).select(F.concat(F.lit("h/"), F.col("id")).alias("u"))
     words = urlfilter.build_filter(listed, "u")
