@@ -41,7 +41,6 @@ def test_op2_held_out_accuracy(spark, sf_dir, docs):
 def test_op3_pieces(spark, sf_dir, docs):
     out = run(spark, sf_dir, "op3_packing")
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     ids = {i: [*tool.encode(t or "", add_special_tokens=False).ids, 2] for i, t in zip(docs.doc_id, docs.text, strict=True)}
     assert set(out.doc_id) == set(ids)
     for doc_id, pieces in out.sort_values("piece").groupby("doc_id"):
@@ -55,7 +54,7 @@ def test_op3_pieces(spark, sf_dir, docs):
     for _, rows in out.sort_values("offset").groupby("sequence_id"):
         assert (rows.offset == rows.length.cumsum().shift(fill_value=0)).all()
         assert rows.length.sum() <= 1024
-    assert out.sequence_id.nunique() <= math.ceil(out.length.sum() / 1024) * 1.02 + 1
+    assert out.sequence_id.nunique() <= math.ceil(out.length.sum() / 1024) * 1.01 + 1
 
 
 def test_op5_components(spark, sf_dir, docs):
