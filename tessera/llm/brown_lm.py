@@ -1,17 +1,20 @@
 """Brown class-based bigram language model.
 
-The most frequent words are clustered by the exchange algorithm on the bigram counts of
-the whole training corpus; all other words form one class of their own, and so does a
-text's end. A token's probability is that of its class after the class before it,
-times that of the word in its class:
-
-* class transitions: counts with ``alpha`` pseudo-counts spread by class frequency;
+The ``core_words`` most frequent words are clustered by the exchange algorithm on the
+bigram counts of the whole training corpus. Then every other word that occurs
+``least_count`` times or more, up to the table's ``frequent_words`` words, makes its
+exchange move: from its counts before and after each class, over the whole corpus, to the
+class where the likelihood is highest. All rarer words form one class of their own, and
+so does a text's end. A token's probability is that of its class after the class before
+it, times that of the word in its class:
+
+* class transitions: counts of all words' classes with ``alpha`` pseudo-counts spread by class frequency;
 * words of the clusters: their share of their class;
-* other words: absolute discounting by ``discount``, what it frees being spread evenly
+* rare words: absolute discounting by ``discount``, what it frees being spread evenly
   over the class's words and one unknown word.
 
-Counts are distributed and cover every training text. Three passes read the texts:
-word counts, bigrams of the cluster words, scoring. Scoring looks ``frequent_words``
+Counts are distributed and cover every training text. Five passes read the texts: word
+counts, bigrams of the core, neighbours of the other words, class bigrams, scoring. Scoring looks ``frequent_words``
 words up in a broadcast table (its length is the bound); only the rest of a text's
 words, counted by text, are shuffled to be joined with their counts, so no frequent
 word is ever a hot key.
@@ -24,7 +27,7 @@ zero; repeated ids are scored row by row; other columns aren't returned.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,48 +101,52 @@ def word_counts(texts: DataFrame, text: str, most: int = 400_000) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``most`` words by falling count, and their counts.
+    """About ``most`` words by falling count, and their counts.
 
     A histogram of the counts' logarithms, in sixteenths, tells from which count on the
-    words are few enough; those are fetched, and no task has to sort more."""
+    words are few enough; of the level that has too many, a share is taken by the words'
+    hash. Those words are fetched, and no task has to sort more."""
     level = F.floor(F.log2("c") * 16)
     words = counts.where(F.length("word") > 0)
-    total, least = 0, None
+    total, chosen = 0, F.lit(False)
     for at, n in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        share = min(1.0, (most - total) / n)
+        chosen = chosen | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))))
         total += n
-        if total > most:
+        if total >= most:
             break
-        least = at
-    if least is None:
-        return [], np.empty(0, np.int64)
-    rows = words.where(level >= least).toArrow()
+    rows = words.where(chosen).toArrow()
     pairs = sorted(zip(rows["c"].to_pylist(), rows["word"].to_pylist(), strict=True), key=lambda p: (-p[0], p[1]))
     return [w for _, w in pairs], np.array([c for c, _ in pairs], dtype=np.int64)
 
 
-def cluster_bigrams(texts: DataFrame, text: str, words: list[bytes]) -> np.ndarray:
-    """Bigram counts between ``words`` (the end first, also as what comes before a text) and all others together.
+def token_runs(batches: Iterator[pa.RecordBatch], get: Callable[[bytes, int], int], other: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The words' numbers, texts end to end with number 0, their end, before and after each; about ``most`` at a time."""
+    for batch in batches:
+        held: list[int] = [0]
+        for t in batch.column(0).to_pylist():
+            held.extend([get(w, other) for w in tokens(t)])
+            held.append(0)
+            if len(held) > most:
+                yield np.array(held, dtype=np.int64)
+                held = [0]
+        if len(held) > 1:
+            yield np.array(held, dtype=np.int64)
+
 
-    The matrix has ``(len(words) + 1) ** 2`` cells whatever the corpus; each task adds its own up first."""
-    n = len(words) + 1
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def class_bigrams(texts: DataFrame, text: str, words: list[bytes], word_class: np.ndarray, n: int) -> np.ndarray:
+    """Bigram counts between the ``n`` classes of ``words`` (the end first, also as what comes before
+    a text) and, with the last class of ``word_class``, all others.
+
+    The matrix has ``n ** 2`` cells whatever the corpus; each task adds its own up first."""
+    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, word_class))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        rest = n - 1
+        table, cls = shared.value
         cells = np.zeros(n * n, dtype=np.int64)
-        for batch in batches:
-            held: list[int] = [0]
-            for t in batch.column(0).to_pylist():
-                held.extend([get(w, rest) for w in tokens(t)])
-                held.append(0)
-                if len(held) > 1 << 20:
-                    ids = np.array(held, dtype=np.int64)
-                    cells += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
-                    held = [0]
-            if len(held) > 1:
-                ids = np.array(held, dtype=np.int64)
-                cells += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
+        for ids in token_runs(batches, table.get, len(table)):
+            ids = cls[ids]
+            cells += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
         some = np.flatnonzero(cells)
         for i in range(0, len(some), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + (1 << 16)]), pa.array(cells[some[i : i + (1 << 16)]])], ["cell", "c"])
@@ -150,6 +157,67 @@ def cluster_bigrams(texts: DataFrame, text: str, words: list[bytes]) -> np.ndarr
     return out.reshape(n, n)
 
 
+def assign_classes(texts: DataFrame, text: str, words: list[bytes], core: int, core_class: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
+    """The class, of the first ``classes``, of each of ``words`` from ``core`` on.
+
+    ``core_class``: that of the core's words, then that of all others, in which they are
+    counted as neighbours. ``grid``: the core's class bigrams. Each task adds up the
+    neighbours' classes of its words, and they meet by word; what reaches the driver is
+    one class for each word of the table."""
+    k = len(grid)
+    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.concatenate((core_class[:core], np.full(len(words) - core + 1, core_class[core])))))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cls = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            cells, where = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            return cells, np.bincount(where, weights=np.concatenate([b for _, b in held])).astype(np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            cells, c = added()
+            for i in range(0, len(cells), 1 << 16):
+                some = cells[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array((some // (2 * k)).astype(np.int32)), pa.array((some % (2 * k)).astype(np.int32)), pa.array(c[i : i + (1 << 16)])], ["w", "cell", "c"])
+
+        for ids in token_runs(batches, table.get, len(table)):
+            at = np.flatnonzero((ids >= core) & (ids < len(table)))
+            if len(at):
+                before, after = cls[ids[at - 1]], cls[ids[at + 1]]
+                held.append(np.unique(np.concatenate((ids[at] * (2 * k) + before, ids[at] * (2 * k) + k + after)), return_counts=True))
+            if sum(len(a) for a, _ in held) > 1 << 21:
+                held = [added()]
+                if len(held[0][0]) > 1 << 20:
+                    yield from rows()
+                    held = []
+        if held:
+            yield from rows()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = grid.astype(np.float64)
+        out, into = g.sum(axis=1), g.sum(axis=0)
+        rows, columns = g[:classes], g[:, :classes].T
+        for part in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            lists = part.column(1)
+            counts = np.zeros((part.num_rows, 2 * k))
+            counts[np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+            before, after = counts[:, :k], counts[:, k:]
+            gain = np.zeros((part.num_rows, classes))
+            for c in range(classes):
+                gain[:, c] = (xlogx(rows[c] + after) - xlogx(rows[c])).sum(axis=1) + (xlogx(columns[c] + before) - xlogx(columns[c])).sum(axis=1)
+            gain -= xlogx(out[:classes] + after.sum(axis=1)[:, None]) - xlogx(out[:classes]) + xlogx(into[:classes] + before.sum(axis=1)[:, None]) - xlogx(into[:classes])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gain.argmax(axis=1).astype(np.int32))], ["w", "class"])
+
+    # the tasks' sums are dealt by word once, for both of the groupings
+    dealt = texts.select(text).mapInArrow(neighbours, "w int, cell int, c long").repartition("w")
+    lists = dealt.groupBy("w", "cell").agg(F.sum("c").alias("c")).groupBy("w").agg(F.collect_list("cell").alias("cells"), F.collect_list("c").alias("c"))
+    got = lists.mapInArrow(assign, "w int, class int").toArrow()
+    found = np.zeros(len(words), dtype=np.int64)
+    found[got["w"].to_numpy()] = got["class"].to_numpy()
+    return found[core:]
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -211,21 +279,25 @@ def exchange(bigrams: np.ndarray, fixed: list[int], classes: int, sweeps: int) -
     return cls
 
 
-def train(texts: DataFrame, text: str = "text", cluster_words: int = 800, classes: int = 40, sweeps: int = 5, frequent_words: int = 1 << 18, alpha: float = 5.0, discount: float = 0.5) -> Model:
+def train(texts: DataFrame, text: str = "text", core_words: int = 800, classes: int = 40, sweeps: int = 5, least_count: int = 3, frequent_words: int = 1 << 18, alpha: float = 5.0, discount: float = 0.5) -> Model:
     """A model of all rows of ``texts``."""
     counts = stored(word_counts(texts, text), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words, known = most_frequent(counts, frequent_words)
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     words, known = [END, *words], np.concatenate(([ends], known)).astype(np.float64)
-    m = min(cluster_words + 1, len(words))
-    bigrams = cluster_bigrams(texts, text, words[:m])
-    classes = max(1, min(classes, m - 1))
-    cls = exchange(bigrams, [0, m], classes, sweeps)
+    m = 1 + int((known[1:] >= least_count).sum())
+    core = min(core_words + 1, m)
+    bigrams = class_bigrams(texts, text, words[:core], np.arange(core + 1), core + 1)
+    classes = max(1, min(classes, core - 1))
+    cls = exchange(bigrams, [0, core], classes, sweeps)
     k = classes + 2
-    member = np.zeros((m + 1, k))
-    member[np.arange(m + 1), cls] = 1
+    member = np.zeros((core + 1, k))
+    member[np.arange(core + 1), cls] = 1
     grid = member.T @ bigrams @ member
+    if m > core:
+        cls = np.concatenate((cls[:core], assign_classes(texts, text, words[:m], core, cls, grid, classes), cls[core:]))
+        grid = class_bigrams(texts, text, words[:m], cls, k).astype(np.float64)
     share = (grid.sum(axis=0) + 1) / (grid.sum() + k)
     transition = (grid + alpha * share[None, :]) / (grid.sum(axis=1, keepdims=True) + alpha)
     class_counts = np.bincount(cls[:m], weights=known[:m], minlength=k)

@@ -284,7 +284,7 @@ def test_long_pieces_as_short_ones(piece):
 
 def test_lm_probabilities_add_up(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a b d", "a a b e f", None])], "doc_id long, text string")
-    m = brown_lm.train(df, cluster_words=2, classes=2, frequent_words=3)
+    m = brown_lm.train(df, core_words=2, classes=2, frequent_words=3)
     assert np.allclose((10**m.transition).sum(axis=1), 1)
     shares = np.bincount(m.word_class[: m.clustered], weights=m.word_counts[: m.clustered] / np.maximum(m.class_counts[m.word_class[: m.clustered]], 1))
     assert np.allclose(shares[shares > 0], 1)
@@ -292,6 +292,70 @@ def test_lm_probabilities_add_up(spark):
     assert (10 ** m.rest_log10(np.array([*rest, 0.0]))).sum() == pytest.approx(1)
 
 
+def test_lm_as_by_direct_evaluation(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    side = lambda k: [words[int(x) * 2 + (k + j) % 2] for j, x in enumerate(rng.zipf(1.5, 12).clip(1, 14))]
+    texts = [" ".join(side(i)) for i in range(60)] + ["", None, "never seen w3", "W4 w5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = brown_lm.train(df.where("doc_id < 50"), core_words=6, classes=3, least_count=3, frequent_words=25)
+    runs = [[b"", *(t or "").encode().lower().split(), b""] for t in texts]
+    counts = Counter(w for r in runs[:50] for w in r[1:])
+    assert m.clustered > 8 and all(counts[w] >= 3 for w in m.words[1 : m.clustered])
+    of = {w: int(m.word_class[i]) for i, w in enumerate(m.words[: m.clustered])}
+    rest, k = int(m.word_class[m.clustered]), len(m.transition)
+    # each word beyond the core has the class in which the core's class bigrams and its own are likeliest
+    core = {w: of[w] for w in m.words[:7]}
+    near = lambda w: core.get(w, rest)
+    grid = np.zeros((k, k))
+    for r in runs[:50]:
+        for a, b in zip(r, r[1:], strict=False):
+            grid[near(a), near(b)] += 1
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    for w in m.words[7 : m.clustered]:
+        before, after = np.zeros(k), np.zeros(k)
+        for r in runs[:50]:
+            for i in range(1, len(r) - 1):
+                if r[i] == w:
+                    before[near(r[i - 1])] += 1
+                    after[near(r[i + 1])] += 1
+        gain = []
+        for c in range(3):
+            g = grid.copy()
+            g[c] += after
+            row = xlogx(g[c]).sum() - xlogx(g[c].sum()) - xlogx(grid[c]).sum() + xlogx(grid[c].sum())
+            g = grid.copy()
+            g[:, c] += before
+            gain.append(row + xlogx(g[:, c]).sum() - xlogx(g[:, c].sum()) - xlogx(grid[:, c]).sum() + xlogx(grid[:, c].sum()))
+        assert gain[of[w]] == pytest.approx(max(gain))
+    grid = np.zeros((k, k))
+    for r in runs[:50]:
+        for a, b in zip(r, r[1:], strict=False):
+            grid[of.get(a, rest), of.get(b, rest)] += 1
+    share = (grid.sum(axis=0) + 1) / (grid.sum() + k)
+    in_class = Counter()
+    for w, c in of.items():
+        in_class[c] += counts[w]
+    others = [c for w, c in counts.items() if w not in of]
+    want = {}
+    for i, r in enumerate(runs):
+        want[i] = 0.0
+        for a, b in zip(r, r[1:], strict=False):
+            ca, cb = of.get(a, rest), of.get(b, rest)
+            p = (grid[ca, cb] + 5 * share[cb]) / (grid[ca].sum() + 5)
+            e = counts[b] / in_class[cb] if b in of else max(counts[b] - 0.5, 0) / sum(others) + 0.5 * len(others) / sum(others) / (len(others) + 1)
+            want[i] += np.log10(p * e)
+    got = {r.doc_id: r.score for r in brown_lm.score_texts(df, m).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_frequent_words_of_like_counts(spark):
+    df = spark.createDataFrame([(f"u{i}".encode(), 1) for i in range(3000)] + [(b"often", 9), (b"", 4)], "word binary, c long")
+    words, known = brown_lm.most_frequent(df, 1000)
+    assert words[0] == b"often" and known[0] == 9 and 800 < len(words) < 1200
+    assert len(brown_lm.most_frequent(df, 10_000)[0]) == 3001
+
+
 def test_exchange_separates_two_vocabularies():
     b = np.zeros((9, 9), dtype=np.int64)
     rng = np.random.default_rng(0)
