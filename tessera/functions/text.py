@@ -147,3 +147,11 @@ def grid_code(column: Column, row: Column) -> Column:
     """A01, B01, ...: letters by 0-based column, at least two digits by row number."""
     number = row.cast("string")
     return F.concat(letters_label(column), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
+
+
+def if_elif_else(cases: list[tuple[Column, object]], default: object = None) -> Column:
+    """The value of the first condition that holds, else the default."""
+    out = F.lit(default)
+    for condition, value in reversed(cases):
+        out = F.when(condition, F.lit(value)).otherwise(out)
+    return out

@@ -38,7 +38,22 @@ def _by_group(df: DataFrame, group: str, kernel: Callable[[np.ndarray], list[np.
 
 
 def convex_hulls(df: DataFrame, group: str) -> DataFrame:
-    return _by_group(df.select(group, "x", "y").distinct(), group, lambda p: [kernels.convex_hull(p)])
+    """Closed rings. The hull of a group is that of its parts' hulls, so each task first reduces
+    what it has of a group, and only those corners are gathered."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.dropna(subset=["x", "y"]).groupby(group, dropna=False, sort=False):
+                hull = kernels.convex_hull(_xy(part))
+                yield pd.DataFrame({group: pd.Series([key] * len(hull), dtype=pdf[group].dtype), "x": hull[:, 0], "y": hull[:, 1]})
+
+    corners = df.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(reduce, f"{group} {kind}, x double, y double")
+    return _by_group(corners, group, lambda p: [kernels.convex_hull(p)])
+
+
+# The walk, the triangulation and the tree below depend on all points of a group at once: a
+# group is one feature, whose points have to fit one task's memory.
 
 
 def concave_hulls(df: DataFrame, group: str, k: int = 3) -> DataFrame:
@@ -56,7 +71,7 @@ def voronoi_cells(df: DataFrame, group: str, clip_to_extent: bool = False) -> Da
     def cells(p: np.ndarray) -> list[np.ndarray]:
         rings = [r for _, r in kernels.voronoi(p)]
         if clip_to_extent and len(p):
-            rings = [kernels.clip_box(r, p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max()) for r in rings]
+            rings = [c for r in rings for c in kernels.clip_box(r, p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max())]
         return rings
 
     return _by_group(df.select(group, "x", "y").distinct(), group, cells)
@@ -73,16 +88,20 @@ def spanning_trees(df: DataFrame, group: str) -> DataFrame:
     return df.select(group, "x", "y").groupBy(group).applyInPandas(run, f"{group} {kind}, Orig int, Dest int, Dist double")
 
 
+def _flat(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All rings' points end to end, and where each ring begins; a null ring has none."""
+    points = rings.flatten()
+    xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y")])
+    return xy, np.concatenate(([0], np.cumsum(rings.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))))
+
+
 def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[tuple[int, np.ndarray]]]) -> DataFrame:
     """Vertex rows of the numbered parts that a kernel makes of each row's ring; no shuffle, one batch out for each in."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            points = lists.flatten()
-            xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y")])
-            cuts = np.concatenate(([0], np.cumsum(lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))))
+            xy, cuts = _flat(batch.column(1))
             rows, numbers, rings = [], [], [np.empty((0, 2))]
             for i in range(batch.num_rows):
                 for number, ring in kernel(xy[cuts[i] : cuts[i + 1]]):
@@ -101,6 +120,7 @@ def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[tuple
 
 
 def split_polygons(df: DataFrame, key: str, how: str, factor: float, axis: str = "X") -> DataFrame:
+    """Vertex rows of the parts, numbered along the axis; a concave polygon can have several in one strip, each its own part."""
     return _per_ring(df, key, lambda r: list(enumerate(kernels.split_polygon(r, how, factor, axis))))
 
 
@@ -110,13 +130,8 @@ def split_by_sector(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def clip_polygons(df: DataFrame, key: str, left: float, bottom: float, right: float, top: float) -> DataFrame:
-    """Vertex rows of what each polygon has inside an extent."""
-
-    def part(r: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        clipped = kernels.clip_box(r, left, bottom, right, top)
-        return [(0, clipped)] if len(clipped) else []
-
-    return _per_ring(df, key, part)
+    """Vertex rows of the parts that each polygon has inside an extent."""
+    return _per_ring(df, key, lambda r: list(enumerate(kernels.clip_box(r, left, bottom, right, top))))
 
 
 def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
@@ -159,7 +174,7 @@ def geodesic_measures(df: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = [np.array([(p["x"], p["y"]) for p in r or []], dtype=np.float64).reshape(-1, 2) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kernels.geodesic_length(r) / 1e3 for r in rings], pa.float64()), pa.array([kernels.geodesic_area(r) / 1e6 for r in rings], pa.float64())], [key, "length_km", "area_km2"])
+            xy, cuts = _flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kernels.geodesic_lengths(xy, cuts) / 1e3), pa.array(kernels.geodesic_areas(xy, cuts) / 1e6)], [key, "length_km", "area_km2"])
 
     return df.select(key, "ring").mapInArrow(run, f"{key} {kind}, length_km double, area_km2 double")

@@ -1,9 +1,12 @@
 """Point operators: nearest neighbours, near tables, distance statistics, point-in-polygon, sorting.
 
-Nearest neighbours are found through a grid: each point meets the points of its own and
+Nearest neighbours are found through a grid: each place meets the places of its own and
 the eight cells around it, and its answer is final once its k-th neighbour is no farther
-than a cell's side. Points that are left go on with cells of twice the side, until the
-grid is one cell. Squared distances are compared; the root is taken of what is kept.
+than a cell's side. Places that are left go on with cells of twice the side, until the
+grid is one cell. The first side is that of the densest part, found by counting, so one
+far point doesn't widen the others' cells; points at one place are one, of which no more
+than the k + 1 least ids can be an answer. Squared distances are compared; the root is
+taken of what is kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,23 @@ def _cell(v: Column, side: float) -> Column:
     return F.floor(v / F.lit(side)).cast("long")
 
 
+def _least_ids(points: DataFrame, most: int, parts: int = 64) -> DataFrame:
+    """The ``most`` least ids at each place; first within ``parts`` of a place's rows, so no task has all rows of a hot place."""
+    first = points.withColumn("__part", F.pmod(F.xxhash64("id2"), F.lit(parts)))
+    first = first.withColumn("__r", F.row_number().over(Window.partitionBy("x2", "y2", "__part").orderBy("id2"))).where(F.col("__r") <= most)
+    return first.withColumn("__r", F.row_number().over(Window.partitionBy("x2", "y2").orderBy("id2"))).where(F.col("__r") <= most).drop("__r", "__part")
+
+
+def first_side(points: DataFrame, n: int, side: float, k: int, least: float) -> float:
+    """A side at which no cell has many more than k points, if there is one of ``least`` or more: quartered until the densest cell says so."""
+    while side > least:
+        most = points.groupBy(_cell(F.col("x2"), side), _cell(F.col("y2"), side)).count().agg(F.max("count")).first()[0]
+        if most <= 16 * (k + 1):
+            break
+        side /= 4
+    return side
+
+
 def nearest(origins: DataFrame, points: DataFrame, k: int, exclude_same: bool = False, side: float | None = None) -> DataFrame:
     """The k nearest ``points`` of each of ``origins`` (both id, x, y).
 
@@ -30,38 +50,42 @@ def nearest(origins: DataFrame, points: DataFrame, k: int, exclude_same: bool =
     smaller id; fewer rows where there are fewer points. ``exclude_same`` leaves out the
     point of the same id."""
     o = origins.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    p = points.select(F.col("id").alias("id2"), F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2"))
+    wanted = k + 1 if exclude_same else k
+    p = materialise(_least_ids(points.select(F.col("id").alias("id2"), F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2")), wanted))
     n, left, bottom, right, top = p.agg(F.count(F.lit(1)), F.min("x2"), F.min("y2"), F.max("x2"), F.max("y2")).first()
     o_box = o.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if not n or o_box[0] is None:
         return o.crossJoin(p.limit(0)).select("id", "x", "y", F.lit(1).alias("n"), "id2", "x2", "y2", F.lit(0.0).alias("d")).limit(0)
     whole = max(right - left, top - bottom, 1e-9)
     reach = max(right, o_box[2]) - min(left, o_box[0]) + max(top, o_box[3]) - min(bottom, o_box[1]) + whole
-    side = side or whole * math.sqrt(max(k, 1) / n)
-    rank = Window.partitionBy("id").orderBy("d2", "id2")
+    side = side or first_side(p, n, whole * math.sqrt(max(k, 1) / n), wanted, whole * 2.0**-40)
+    rank = Window.partitionBy("x", "y").orderBy("d2", "id2")
+    places = o.select("x", "y").distinct()
     done: list[DataFrame] = []
-    rest = o
+    rest = places
     while True:
         last = side >= reach
         cells = p.withColumns({"cx": _cell(F.col("x2"), side), "cy": _cell(F.col("y2"), side)})
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        asked = rest.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("id", "x", "y", (_cell(F.col("x"), side) + F.col("ox")).alias("cx"), (_cell(F.col("y"), side) + F.col("oy")).alias("cy"))
+        asked = rest.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("x", "y", (_cell(F.col("x"), side) + F.col("ox")).alias("cx"), (_cell(F.col("y"), side) + F.col("oy")).alias("cy"))
         met = asked.join(cells, ["cx", "cy"]).withColumn("d2", squared_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-        if exclude_same:
-            met = met.where("id <> id2")
-        found = materialise(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k).drop("cx", "cy"))
+        found = materialise(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= wanted).drop("cx", "cy"))
         if last:
             done.append(found)
             break
-        settled = found.where((F.col("n") == k) & (F.col("d2") <= side * side)).select("id")
-        done.append(found.join(settled, "id", "left_semi"))
-        rest = materialise(rest.join(settled, "id", "left_anti"))
+        settled = found.where((F.col("n") == wanted) & (F.col("d2") <= side * side)).select("x", "y")
+        done.append(found.join(settled, ["x", "y"], "left_semi"))
+        rest = materialise(rest.join(settled, ["x", "y"], "left_anti"))
         if rest.isEmpty():
             break
         side *= 2
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    # every origin of a place has its answer, less itself
+    out = o.join(out.select(F.col("x").alias("__x"), F.col("y").alias("__y"), "id2", "x2", "y2", "d2", "n"), (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
+    if exclude_same:
+        out = out.where("id <> id2").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d2", "id2"))).where(F.col("n") <= k)
     return out.select("id", "x", "y", "n", "id2", "x2", "y2", F.sqrt("d2").alias("d"))
 
 
@@ -122,7 +146,8 @@ def distance_statistics(points: DataFrame, group: str, block: int = 2048) -> Dat
     that aren't zero (null where there is none). ``ID`` is the group's key.
 
     The pairs are never rows: a group's points are dealt to blocks of about ``block``, each
-    pair of blocks is one task's kernel, and gives one row of partial moments."""
+    pair of blocks is one task's kernel, and gives one row of partial moments. The least
+    distance and the deviation are of all pairs, so the work is quadratic in a group's size."""
     p = points.select(F.col(group).alias("g"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     base = p.groupBy("g").agg(
         F.count(F.lit(1)).alias("N_pnts"), F.avg("x").alias("CentX"), F.avg("y").alias("CentY"), F.min("x").alias("MinX"), F.min("y").alias("MinY"), F.max("x").alias("MaxX"), F.max("y").alias("MaxY"),
@@ -158,15 +183,24 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, side: float | None
     """For each point (id, x, y) strictly inside a polygon (``poly_id``, ``ring``): the smallest such ``poly_id``.
 
     Polygons are dealt to the grid cells that their extents touch, so points meet only
-    the polygons near them; ``side`` defaults to the mean extent."""
-    boxes = polygons.withColumn("box", ring_extent(F.col("ring")))
+    the polygons near them; ``side`` defaults to the median extent. A polygon that is
+    larger than that has cells of twice, four times, ... the side, so it touches four at
+    most however large it is, and points are looked up once for each size that occurs."""
+    boxes = polygons.withColumn("box", ring_extent(F.col("ring"))).where("box.L is not null")
+    boxes = boxes.withColumn("__size", F.greatest(F.col("box.R") - F.col("box.L"), F.col("box.T") - F.col("box.B")))
     if side is None:
-        mean = boxes.agg(F.avg(F.greatest(F.col("box.R") - F.col("box.L"), F.col("box.T") - F.col("box.B")))).first()[0]
-        side = mean or 1.0
-    span = lambda a, b: F.explode(F.sequence(_cell(F.col(a), side), _cell(F.col(b), side)))
+        side = boxes.agg(F.percentile_approx("__size", 0.5)).first()[0] or 1.0
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("__size"), F.lit(side)) / side)), F.lit(0)).cast("int")
+    boxes = boxes.withColumn("__level", level)
+    levels = [r[0] for r in boxes.select("__level").distinct().collect()]
+    if not levels:
+        return points.select("id", F.lit(None).cast(polygons.schema["poly_id"].dataType).alias("poly_id")).limit(0)
+    cell = lambda v, at: F.floor(v / (F.lit(side) * F.pow(F.lit(2.0), at))).cast("long")
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a), F.col("__level")), cell(F.col(b), F.col("__level"))))
     dealt = boxes.withColumn("cx", span("box.L", "box.R")).withColumn("cy", span("box.B", "box.T"))
-    cells = points.withColumns({"cx": _cell(F.col("x"), side), "cy": _cell(F.col("y"), side)})
-    met = cells.join(dealt, ["cx", "cy"]).where(F.col("x").between(F.col("box.L"), F.col("box.R")) & F.col("y").between(F.col("box.B"), F.col("box.T")))
+    asked = points.select("id", "x", "y", F.explode(F.array(*[F.lit(v) for v in levels])).alias("__level"))
+    cells = asked.withColumns({"cx": cell(F.col("x"), F.col("__level")), "cy": cell(F.col("y"), F.col("__level"))})
+    met = cells.join(dealt, ["__level", "cx", "cy"]).where(F.col("x").between(F.col("box.L"), F.col("box.R")) & F.col("y").between(F.col("box.B"), F.col("box.T")))
     return met.where(contains_point(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min("poly_id").alias("poly_id"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.ordered import medians
+
 
 def normalise_nulls(df: DataFrame) -> DataFrame:
     """NaN in float columns becomes NULL, so that statistics skip it."""
@@ -73,14 +75,16 @@ def field_statistics(df: DataFrame, fields: list[str], name: str = "Field", with
         F.sum(v).alias("Sum"),
         F.min(v).alias("Min"),
         F.max(v).alias("Max"),
-        F.median(v).alias("Med"),
+        F.lit(None).cast("double").alias("Med"),
         F.avg(v).alias("Avg"),
         F.stddev_pop(v).alias("Std"),
         F.var_pop(v).alias("Var"),
         F.skewness(v).alias("Skew"),
         (F.kurtosis(v) + 3).alias("Kurt"),
     ]
-    return long.groupBy(name).agg(*(aggs if with_n else aggs[1:]))
+    out = long.groupBy(name).agg(*(aggs if with_n else aggs[1:]))
+    middle = medians(long, "v", name).select(F.col(name).alias("__field"), "median")
+    return out.join(F.broadcast(middle), F.col(name) == F.col("__field"), "left").withColumn("Med", F.col("median")).drop("__field", "median")
 
 
 def row_skew_kurt(fields: list[str], moment: str = "skew") -> Column:

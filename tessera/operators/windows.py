@@ -7,10 +7,14 @@ operators go through :class:`tessera.plans.ordered.Ordered`, never through one t
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.ordered import BLOCK, Ordered, numbered, sliding
+from tessera.plans.ordered import BLOCK, Ordered, medians, numbered, sliding
 
 STATISTICS = {"max": F.max, "mean": F.avg, "median": F.median, "min": F.min}
 
@@ -38,8 +42,7 @@ def rank_ordinal(df: DataFrame, fields: list[str], order: list[str], out: str =
 def cumulative_sum(df: DataFrame, field: str, order: list[str], out: str = "cumsum", partition_by: list[str] | None = None) -> DataFrame:
     """Running total; null adds 0 and shows the carried total."""
     if partition_by:
-        w = _window(order, partition_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.coalesce(F.sum(field).over(w), F.lit(0)))
+        return Ordered(df, [*partition_by, *order]).with_sum_by(out, F.col(field), partition_by).df.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
     return Ordered(df, order).with_sum(out, F.col(field)).df.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
@@ -54,6 +57,10 @@ def difference_from(df: DataFrame, field: str, statistic: str | float, out: str
     """Value minus the max, mean, median or min, or minus a constant. Null in, null out."""
     if isinstance(statistic, (int, float)):
         return df.withColumn(out, F.col(field) - F.lit(statistic))
+    if statistic == "median" and not partition_by:
+        middle = medians(df.select(F.lit(0).alias("__g"), F.col(field).cast("double").alias("__v")), "__v", "__g").select(F.col("median").alias("__s"))
+        whole = middle.agg(F.max("__s").alias("__s"))
+        return df.crossJoin(F.broadcast(whole)).withColumn(out, F.col(field) - F.col("__s")).drop("__s")
     return _with_aggregate(df, {"__s": STATISTICS[statistic](F.col(field))}, partition_by).withColumn(out, F.col(field) - F.col("__s")).drop("__s")
 
 
@@ -83,7 +90,7 @@ def sequential_difference(df: DataFrame, field: str, order: list[str], out: str
 
 def occurrence(df: DataFrame, field: str, order: list[str], out: str = "k") -> DataFrame:
     """1 for the first row with a value, 2 for its second, ..."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(field).orderBy(*order)).cast("long"))
+    return Ordered(df, [field, *[c for c in order if c != field]]).with_sum_by(out, F.lit(1).cast("long"), [field]).df
 
 
 def sequential_text(df: DataFrame, field: str, order: list[str], out: str = "label", style: str = "text") -> DataFrame:
@@ -199,16 +206,28 @@ def classify(df: DataFrame, field: str, breaks: list[float], out: str = "class")
 
 
 def cumulative_with_reset(df: DataFrame, field: str, order: list[str], partition_by: list[str], out: str = "cumulative") -> DataFrame:
-    """Running total that starts anew at the value once it has been negative.
-
-    The fold isn't associative, so each group is folded in order as one array; groups
-    have to fit a task, and so a partition is required."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(field).cast("double").alias("__v"))))
-    last = lambda acc: F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(F.element_at(acc, -1))
-    step = lambda acc, s: F.concat(acc, F.array(F.when(last(acc) < 0, s["__v"]).otherwise(last(acc) + F.coalesce(s["__v"], F.lit(0.0)))))
-    folded = df.groupBy(*partition_by).agg(items.alias("__items")).withColumn("__sums", F.aggregate("__items", F.array().cast("array<double>"), step))
-    pairs = folded.select(*partition_by, F.explode(F.arrays_zip("__items", "__sums")).alias("__z"))
-    return pairs.select(*partition_by, *[F.col(f"__z.__items.{c}").alias(c) for c in order], F.col("__z.__items.__v").alias(field), F.col("__z.__sums").alias(out))
+    """Running total that starts anew at the value once it has been negative; null adds 0 and shows the carried total.
+
+    What a stretch of rows does to the total depends on all of its values, so the stretches
+    of a group can't be summed apart: a partition is required, and each group is read in
+    order by one task, row by row, with the total as its only state."""
+    names = [*partition_by, *order, field]
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in names[:-1]]
+    rows = df.select(*partition_by, *order, F.col(field).cast("double").alias(field)).repartition(*partition_by).sortWithinPartitions(*partition_by, *order)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = None, 0.0
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns[: len(partition_by)]), strict=True)
+            sums = []
+            for key, v in zip(keys, batch.column(len(names) - 1).to_pylist(), strict=True):
+                if key != group:
+                    group, total = key, 0.0
+                total = (v or 0.0) + (total if total >= 0 else 0.0)
+                sums.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64())], [*names, out])
+
+    return rows.mapInArrow(kernel, ", ".join([*kinds, f"{field} double", f"{out} double"]))
 
 
 def distance_to_previous(df: DataFrame, order: list[str], x: str = "x", y: str = "y", partition_by: list[str] | None = None) -> DataFrame:
@@ -229,14 +248,18 @@ def distance_to_previous(df: DataFrame, order: list[str], x: str = "x", y: str =
 
 
 def focal_window(cells: DataFrame, height: int, width: int, aggregate: Column, row: str = "row", col: str = "col", value: str = "value", step: tuple[int, int] = (1, 1)) -> DataFrame:
-    """``aggregate`` of ``value`` over each whole window of ``height`` x ``width`` cells; no padding at the edges.
-
-    ``row`` and ``col`` are the window's upper left cell, every ``step``-th from 0. Each cell
-    goes to the windows that hold it, so partial aggregates are made before the exchange."""
-    up = F.explode(F.sequence(F.lit(0), F.lit(height - 1)))
-    left = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
-    spread = cells.select(row, col, value, up.alias("__u")).select("*", left.alias("__l"))
-    at = spread.select((F.col(row) - F.col("__u")).alias("__r"), (F.col(col) - F.col("__l")).alias("__c"), value)
-    starts = at.where((F.col("__r") >= 0) & (F.col("__c") >= 0) & (F.col("__r") % step[0] == 0) & (F.col("__c") % step[1] == 0))
-    out = starts.groupBy("__r", "__c").agg(aggregate.alias("focal"), F.count(F.lit(1)).alias("__n"))
-    return out.where(F.col("__n") == height * width).select(F.col("__r").alias("row"), F.col("__c").alias("col"), "focal")
+    """``aggregate`` of ``value`` over each whole window of ``height`` x ``width`` cells; ``row`` and ``col`` are its upper left cell."""
+    out = focal_cells(cells.select(F.col(row).alias("row"), F.col(col).alias("col"), value), {"row": height, "col": width}, aggregate, {"row": step[0], "col": step[1]})
+    return out.select("row", "col", "focal")
+
+
+def focal_cells(cells: DataFrame, window: dict[str, int], aggregate: Column, step: dict[str, int] | None = None) -> DataFrame:
+    """``aggregate`` over each whole window of the lengths in ``window``, by axis, in any number of axes; no padding at the edges.
+
+    The axes' columns hold the window's least cell, every ``step``-th from 0. Each cell goes
+    to the windows that hold it, so partial aggregates are made before the exchange."""
+    for axis, length in window.items():
+        cells = cells.withColumn(axis, F.explode(F.sequence(F.col(axis) - F.lit(length - 1), F.col(axis))))
+        cells = cells.where((F.col(axis) >= 0) & (F.col(axis) % (step or {}).get(axis, 1) == 0))
+    out = cells.groupBy(*window).agg(aggregate.alias("focal"), F.count(F.lit(1)).alias("__n"))
+    return out.where(F.col("__n") == math.prod(window.values())).select(*window, "focal")

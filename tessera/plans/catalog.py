@@ -6,47 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, planar, registry, text
 from tessera.operators import grouped, points, shapes, tables, windows
+from tessera.plans.registered import XY, query, rounded, table, xy
 from tessera.sources import features
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its name, with its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, negative zero turned to zero."""
-    return df.select([(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
-
-
-def xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planar points: the first two numbers of each embedding, and its label as group."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").alias("grp"))
-
-
-XY = "xy AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label AS grp FROM embeddings)"
-
-
 # tables
 
 
@@ -283,10 +250,13 @@ def nested_means_class(spark, sf_dir):
     return windows.classify(p, "p_retailprice", windows.nested_mean_breaks(p, "p_retailprice", most=4)).drop("p_retailprice")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_id % 5 > 0 THEN value - 60 END AS v FROM events),
+c(user_id, event_id, k, v, t) AS (SELECT user_id, event_id, k, v, coalesce(v, 0.0) FROM n WHERE k = 1
+UNION ALL SELECT n.user_id, n.event_id, n.k, n.v, coalesce(n.v, 0.0) + CASE WHEN c.t < 0 THEN 0.0 ELSE c.t END FROM c JOIN n ON n.user_id = c.user_id AND n.k = c.k + 1)
+SELECT user_id, event_id, round(v, 4) AS v, round(t, 4) AS cumulative FROM c""")
 def cumulative_with_reset(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("v", F.col("value") - 60)
-    return rounded(windows.cumulative_with_reset(e, "v", ["event_id"], ["user_id"]))
+    e = events(spark, sf_dir).withColumn("v", F.when(F.col("event_id") % 5 > 0, F.col("value") - 60))
+    return rounded(windows.cumulative_with_reset(e, "v", ["event_id"], ["user_id"]), 4)
 
 
 # text, dates, coordinates
@@ -534,26 +504,66 @@ def split_polygons(spark, sf_dir):
     return rounded(parts.groupBy(F.col("key.id").alias("id")).agg(F.sum(planar.ring_area(F.col("ring"))).alias("area"), F.count(F.lit(1)).alias("parts")))
 
 
-def _kernel(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    def run(spark, sf_dir):
-        return rounded(f(xy(spark, sf_dir)))
+#: Directed sides of each group's convex hull: all other points lie to their left.
+_HULL = f"""{XY}, d AS (SELECT DISTINCT grp, x, y FROM xy), h AS (SELECT a.grp, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM d a JOIN d b ON a.grp = b.grp AND (a.x, a.y) <> (b.x, b.y)
+WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.grp = a.grp AND (c.x, c.y) <> (a.x, a.y) AND (c.x, c.y) <> (b.x, b.y) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) <= 0)),
+hull AS (SELECT grp, count(*) AS corners, sum(x0 * y1 - x1 * y0) / 2 AS area FROM h GROUP BY grp), n AS (SELECT grp, count(*) AS n FROM d GROUP BY grp)"""
+
+
+def _sized(parts: DataFrame) -> DataFrame:
+    """Area of each group's numbered part."""
+    whole = shapes.rings(parts.withColumn("key", F.struct("grp", "part")), "key", close=True)
+    return whole.select(F.col("key.grp").alias("grp"), F.col("key.part").alias("part"), planar.ring_area(F.col("ring")).alias("area"))
 
-    run.__name__ = name
-    query()(run)
 
+@query(f"WITH {_HULL} SELECT grp, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM h")
+def convex_hull(spark, sf_dir):
+    """Each hull's sides."""
+    corners = grouped.convex_hulls(xy(spark, sf_dir), "grp")
+    following = Window.partitionBy("grp").orderBy("pnt_id")
+    sides = corners.select("grp", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(following).alias("x1"), F.lead("y").over(following).alias("y1"))
+    return rounded(sides.where("x1 is not null"))
 
-_kernel("convex_hull", lambda p: grouped.convex_hulls(p, "grp"))
-_kernel("concave_hull", lambda p: grouped.concave_hulls(p, "grp"))
-_kernel("spanning_tree", lambda p: grouped.spanning_trees(p, "grp"))
-_kernel("delaunay", lambda p: grouped.triangulate(p, "grp"))
-_kernel("voronoi", lambda p: grouped.voronoi_cells(p, "grp", clip_to_extent=True))
-_kernel("spaced_points", lambda p: grouped.spaced_points(p.groupBy("grp").agg(*tables.extent()), "grp", 0.3, 40))
-_kernel("infinity_circle", shapes.infinity_circle)
+
+@query(f"WITH {_HULL} SELECT grp, n - 0 AS held, true AS smaller FROM n JOIN hull USING (grp)")
+def concave_hull(spark, sf_dir):
+    """How many of its points each hull holds or has as corners, and whether it is no larger than the convex one."""
+    p = xy(spark, sf_dir).select("grp", "x", "y").distinct()
+    ring = shapes.rings(grouped.concave_hulls(p, "grp"), "grp").select(F.col("grp").alias("g"), "ring")
+    convex = shapes.rings(grouped.convex_hulls(p, "grp"), "grp").select(F.col("grp").alias("c"), planar.ring_area(F.col("ring")).alias("convex"))
+    at_corner = F.exists("ring", lambda q: (q["x"] == F.col("x")) & (q["y"] == F.col("y")))
+    held = p.join(ring, F.col("grp") == F.col("g")).where(at_corner | planar.contains_point(F.col("ring"), F.col("x"), F.col("y"))).groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
+    sizes = ring.join(convex, F.col("g") == F.col("c")).select("g", (planar.ring_area(F.col("ring")) <= F.col("convex") + 1e-9).alias("smaller"))
+    return held.join(sizes, F.col("grp") == F.col("g")).select("grp", "held", "smaller")
 
 
 @query()
-def split_equal_area(spark, sf_dir):
-    return rounded(grouped.split_polygons(squares(spark, sf_dir), "id", "area", 3))
+def spanning_tree(spark, sf_dir):
+    return rounded(grouped.spanning_trees(xy(spark, sf_dir), "grp"))
+
+
+@query(f"WITH {_HULL} SELECT grp, 2 * n - 2 - corners AS triangles, round(area, 6) AS area FROM n JOIN hull USING (grp)")
+def delaunay(spark, sf_dir):
+    """Each group's number of triangles, and the area that they fill."""
+    sizes = _sized(grouped.triangulate(xy(spark, sf_dir), "grp"))
+    return rounded(sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("triangles"), F.sum("area").alias("area")))
+
+
+@query(f"WITH {XY}, d AS (SELECT DISTINCT grp, x, y FROM xy) SELECT grp, count(*) AS cells, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area FROM d GROUP BY grp")
+def voronoi(spark, sf_dir):
+    """Each group's number of cells, and the area that they fill."""
+    sizes = _sized(grouped.voronoi_cells(xy(spark, sf_dir), "grp", clip_to_extent=True))
+    return rounded(sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("cells"), F.sum("area").alias("area")))
+
+
+@query(f"WITH {XY} SELECT grp, true AS spaced, true AS inside, true AS some FROM xy GROUP BY grp")
+def spaced_points(spark, sf_dir):
+    boxes = xy(spark, sf_dir).groupBy("grp").agg(*tables.extent())
+    p = grouped.spaced_points(boxes, "grp", 0.3, 40)
+    pairs = p.select("grp", "pnt_id", "x", "y").join(p.select("grp", F.col("pnt_id").alias("q"), F.col("x").alias("u"), F.col("y").alias("v")), "grp").where("pnt_id < q")
+    near = pairs.groupBy("grp").agg(F.min(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v"))).alias("d"))
+    within = p.join(boxes, "grp").groupBy("grp").agg(F.bool_and(F.col("x").between(F.col("L"), F.col("R")) & F.col("y").between(F.col("B"), F.col("T"))).alias("inside"), F.count(F.lit(1)).alias("n"))
+    return within.join(near, "grp", "left").select("grp", (F.coalesce(F.col("d"), F.lit(1.0)) > 0.3).alias("spaced"), "inside", F.col("n").between(1, 40).alias("some"))
 
 
 @query("""SELECT id, round(least(w, 20) * least(h, 5), 6) AS area FROM (SELECT p_partkey AS id, p_size AS w, p_retailprice / 100 AS h FROM part)""")
@@ -574,16 +584,11 @@ def centroids(spark, sf_dir):
     return rounded(features.feature_points(squares(spark, sf_dir), ["id"]))
 
 
-@query()
-def split_sector(spark, sf_dir):
-    hulls = shapes.rings(grouped.convex_hulls(xy(spark, sf_dir), "grp"), "grp")
-    return rounded(grouped.split_by_sector(hulls, "grp", 4))
-
-
-@query()
+@query("SELECT p_partkey AS id, CAST(2 AS BIGINT) AS triangles, round(p_size * p_retailprice / 100, 6) AS area FROM part")
 def triangulate_polygons(spark, sf_dir):
-    hulls = shapes.rings(grouped.concave_hulls(xy(spark, sf_dir), "grp"), "grp")
-    return rounded(grouped.triangulate_polygons(hulls, "grp"))
+    triangles = grouped.triangulate_polygons(squares(spark, sf_dir), "id")
+    whole = shapes.rings(triangles.withColumn("key", F.struct("id", "part")), "key", close=True).select(F.col("key.id").alias("id"), planar.ring_area(F.col("ring")).alias("area"))
+    return rounded(whole.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"), F.sum("area").alias("area")))
 
 
 @query("""SELECT id, CAST(90 AS DOUBLE) AS a0, CAST(90 AS DOUBLE) AS a1, 3 AS n FROM (SELECT p_partkey AS id FROM part)""")
@@ -592,9 +597,19 @@ def signed_angles(spark, sf_dir):
     return rounded(squares(spark, sf_dir).select("id", a[0].alias("a0"), a[2].alias("a1"), F.size(a).alias("n")))
 
 
-@query()
+#: Area on the authalic sphere of WGS84 between the equator and a latitude, for each degree of longitude: a closed form.
+_AUTHALIC = """WITH c AS (SELECT 1 / 298.257223563 * (2 - 1 / 298.257223563) AS e2), s AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS w, sin(radians(p_retailprice / 100)) AS s FROM part)
+SELECT id, round(radians(w) * pow(6378.137, 2) / 2 * (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - sqrt(e2) * s) / (1 + sqrt(e2) * s)) / (2 * sqrt(e2))), 3) AS area_km2 FROM s, c"""
+
+
+@query(_AUTHALIC)
 def geodesic_measures(spark, sf_dir):
-    return rounded(grouped.geodesic_measures(squares(spark, sf_dir), "id"))
+    return rounded(grouped.geodesic_measures(squares(spark, sf_dir), "id").select("id", "area_km2"), 3)
+
+
+@query()
+def geodesic_lengths(spark, sf_dir):
+    return rounded(grouped.geodesic_measures(squares(spark, sf_dir), "id").select("id", "length_km"))
 
 
 @query()

@@ -10,17 +10,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. Only in local mode, where none is set, a temporary one."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -71,6 +82,23 @@ class Ordered:
         total = F.when(here.isNotNull() | F.col("__carry").isNotNull(), F.coalesce(F.col("__carry"), F.lit(0)) + F.coalesce(here, F.lit(0)))
         return self.next(this.join_carry(carry).withColumn(name, total).drop("__value", "__carry"))
 
+    def with_sum_by(self, name: str, value: Column, by: list[str]) -> Ordered:
+        """Running sum that starts anew with each value of ``by``, the columns by which the order begins.
+
+        A value may fill many blocks: what comes before a block is carried for the first and
+        the last value of each, so there are two rows a block at most, however hot a value is."""
+        key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
+        this = self.next(self.rows.withColumns({"__value": value, "__key": key}))
+        edges = this.rows.groupBy(F.col(BLOCK).alias("__b")).agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi"))
+        at_edge = this.rows.join(F.broadcast(edges), F.col(BLOCK) == F.col("__b")).where((F.col("__key") == F.col("__lo")) | (F.col("__key") == F.col("__hi")))
+        sums = at_edge.groupBy(F.col(BLOCK).alias("__b"), F.col("__key").alias("__edge")).agg(F.sum("__value").alias("__total"))
+        before = Window.partitionBy("__edge").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = sums.select("__b", "__edge", F.sum("__total").over(before).alias("__carry"))
+        here = F.sum("__value").over(Window.partitionBy(BLOCK, "__key").orderBy(*as_columns(self.order)).rowsBetween(Window.unboundedPreceding, 0))
+        total = F.when(here.isNotNull() | F.col("__carry").isNotNull(), F.coalesce(F.col("__carry"), F.lit(0)) + F.coalesce(here, F.lit(0)))
+        rows = this.rows.join(F.broadcast(carry), (F.col(BLOCK) == F.col("__b")) & (F.col("__key") == F.col("__edge")), "left")
+        return self.next(rows.withColumn(name, total).drop("__value", "__carry", "__key", "__b", "__edge"))
+
     def with_number(self, name: str) -> Ordered:
         """1, 2, ... in order."""
         carry = self.carried(F.count(F.lit(1)), lambda t, w: F.sum(t).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -96,6 +124,17 @@ def numbered(df: DataFrame, order: list[str], name: str, partition_by: list[str]
     return Ordered(df, order).with_number(name).df
 
 
+def medians(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(``by``, ``median``) of values that aren't null. The values are ranked in ranges, so no task sees all of a group's;
+    groups have to be few, for their counts are broadcast."""
+    known = df.where(F.col(value).isNotNull()).select(by, value)
+    ranked = Ordered(known, [by, value]).with_sum_by("__rank", F.lit(1).cast("long"), [by]).df
+    counts = known.groupBy(F.struct(F.col(by).alias("k")).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    both = ranked.join(F.broadcast(counts), F.struct(F.col(by).alias("k")) == F.col("__k"))
+    middle = both.where(F.col("__rank").isin(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)))
+    return middle.groupBy(by).agg(F.avg(value).alias("median"))
+
+
 def sliding(df: DataFrame, order: list[str], half: int, columns: dict, partition_by: list[str] | None = None, chunk: int = 100_000) -> DataFrame:
     """Columns over the ``half`` rows before and after each row.
 

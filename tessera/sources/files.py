@@ -10,9 +10,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,24 +142,72 @@ def parse_xlsx(content: bytes, sheet: int = 0) -> list[list[object]]:
     return out
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: int = 0, int_null: int = -999) -> DataFrame:
-    """A sheet with a header row. A column of whole numbers is long, blanks ``int_null``; one of numbers
-    double, blanks null; else text, blanks ``None``."""
-    content = spark.read.format("binaryFile").load(path).limit(1).first()["content"]
-    head, *body = parse_xlsx(bytes(content), sheet)
-    names = unique_names([str(h) for h in head])
-    columns = [[r[i] if i < len(r) else None for r in body] for i in range(len(names))]
-    fields, data = [], []
-    for n, c in zip(names, columns, strict=True):
-        known = [v for v in c if v is not None]
-        if known and all(isinstance(v, float) for v in known):
-            whole = all(v == int(v) for v in known)
-            fields.append(T.StructField(n, T.LongType() if whole else T.DoubleType()))
-            data.append([(int_null if v is None else int(v)) if whole else v for v in c])
-        else:
-            fields.append(T.StructField(n, T.StringType()))
-            data.append(["None" if v is None else str(v) for v in c])
-    return spark.createDataFrame(list(zip(*data, strict=True)), T.StructType(fields))
+def xlsx_bytes(rows: list[list[object]], sheet: str = "Sheet1") -> bytes:
+    """A workbook of one sheet: text, numbers, and nothing where a value is None."""
+    lines = []
+    for i, row in enumerate(rows):
+        cells = []
+        for j, v in enumerate(row):
+            if v is not None:
+                at = f"{'' if j < 26 else chr(64 + j // 26)}{chr(65 + j % 26)}{i + 1}"
+                cells.append(f'<c r="{at}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{at}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
+        lines.append(f'<row r="{i + 1}">{"".join(cells)}</row>')
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{NS["m"]}" xmlns:r="{NS["r"]}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships><Relationship Id="rId1" Type="{NS["r"]}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{NS["m"]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return buffer.getvalue()
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
+    """A sheet with a header row of each file matched; files have to have the same header, and each is one task's.
+
+    A column of whole numbers in all files is long, one of numbers double, else text; blanks
+    are null. Only the kinds of the columns come to the driver, a row a file."""
+    content = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, *body = parse_xlsx(data, sheet) or [[]]
+                found = []
+                for i in range(len(head)):
+                    known = [r[i] for r in body if i < len(r) and r[i] is not None]
+                    numbers = all(isinstance(v, float) for v in known)
+                    found.append("none" if not known else "string" if not numbers else "bigint" if all(v == int(v) for v in known) else "double")
+                yield pa.RecordBatch.from_pydict({"path": [where], "names": [unique_names([str(h) for h in head])], "kinds": [found]})
+
+    files = content.mapInArrow(kinds, "path string, names array<string>, kinds array<string>").collect()
+    headers = {tuple(f.names) for f in files}
+    if len(headers) != 1:
+        raise ValueError(f"files with different headers: {sorted(headers)[:2]}")
+    names = list(headers.pop())
+    rank = ["none", "bigint", "double", "string"]
+    types = [max((f.kinds[i] for f in files), key=rank.index) for i in range(len(names))]
+    types = ["string" if t == "none" else t for t in types]
+    convert = {"string": lambda v: v if isinstance(v, str) else f"{v:g}" if isinstance(v, float) else str(v), "bigint": int, "double": float}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                body = parse_xlsx(data, sheet)[1:]
+                columns = [[convert[t](r[i]) if i < len(r) and r[i] is not None else None for r in body] for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind[t]) for c, t in zip(columns, types, strict=True)], names)
+
+    return content.select("content").mapInArrow(rows, T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(names, types, strict=True)]))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One object on any store that Spark writes."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
 
 
 def check_output_name(path: str) -> str:

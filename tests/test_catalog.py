@@ -2,7 +2,8 @@
 
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, expressions, relations  # noqa: F401
+from tessera.plans.registered import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
 
@@ -11,11 +12,11 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    df = catalog.QUERIES[name](spark, sf_dir)
-    if name in catalog.ORACLE_SQL:
-        assert_same(df, con, catalog.ORACLE_SQL[name])
+    df = QUERIES[name](spark, sf_dir)
+    if name in ORACLE_SQL:
+        assert_same(df, con, ORACLE_SQL[name])
     else:
         assert df.count() > 0
 
