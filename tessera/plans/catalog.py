@@ -505,7 +505,7 @@ def split_polygons(spark, sf_dir):
 
 
 #: Directed sides of each group's convex hull: all other points lie to their left.
-_HULL = f"""{XY}, d AS (SELECT DISTINCT grp, x, y FROM xy), h AS (SELECT a.grp, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM d a JOIN d b ON a.grp = b.grp AND (a.x, a.y) <> (b.x, b.y)
+HULL = f"""{XY}, d AS (SELECT DISTINCT grp, x, y FROM xy), h AS (SELECT a.grp, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM d a JOIN d b ON a.grp = b.grp AND (a.x, a.y) <> (b.x, b.y)
 WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.grp = a.grp AND (c.x, c.y) <> (a.x, a.y) AND (c.x, c.y) <> (b.x, b.y) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) <= 0)),
 hull AS (SELECT grp, count(*) AS corners, sum(x0 * y1 - x1 * y0) / 2 AS area FROM h GROUP BY grp), n AS (SELECT grp, count(*) AS n FROM d GROUP BY grp)"""
 
@@ -516,7 +516,7 @@ def _sized(parts: DataFrame) -> DataFrame:
     return whole.select(F.col("key.grp").alias("grp"), F.col("key.part").alias("part"), planar.ring_area(F.col("ring")).alias("area"))
 
 
-@query(f"WITH {_HULL} SELECT grp, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM h")
+@query(f"WITH {HULL} SELECT grp, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM h")
 def convex_hull(spark, sf_dir):
     """Each hull's sides."""
     corners = grouped.convex_hulls(xy(spark, sf_dir), "grp")
@@ -525,7 +525,7 @@ def convex_hull(spark, sf_dir):
     return rounded(sides.where("x1 is not null"))
 
 
-@query(f"WITH {_HULL} SELECT grp, n - 0 AS held, true AS smaller FROM n JOIN hull USING (grp)")
+@query(f"WITH {HULL} SELECT grp, n - 0 AS held, true AS smaller FROM n JOIN hull USING (grp)")
 def concave_hull(spark, sf_dir):
     """How many of its points each hull holds or has as corners, and whether it is no larger than the convex one."""
     p = xy(spark, sf_dir).select("grp", "x", "y").distinct()
@@ -542,7 +542,7 @@ def spanning_tree(spark, sf_dir):
     return rounded(grouped.spanning_trees(xy(spark, sf_dir), "grp"))
 
 
-@query(f"WITH {_HULL} SELECT grp, 2 * n - 2 - corners AS triangles, round(area, 6) AS area FROM n JOIN hull USING (grp)")
+@query(f"WITH {HULL} SELECT grp, 2 * n - 2 - corners AS triangles, round(area, 6) AS area FROM n JOIN hull USING (grp)")
 def delaunay(spark, sf_dir):
     """Each group's number of triangles, and the area that they fill."""
     sizes = _sized(grouped.triangulate(xy(spark, sf_dir), "grp"))
