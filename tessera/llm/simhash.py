@@ -23,20 +23,23 @@ byte is sure to be shared. Each distinct shingle votes once, and the index only
   probability 0.9998 if their bits differ independently;
 * a posting carries the first ``CARRIED`` words, of which ``max_bits`` may differ: 40 of
   128 where 19 are expected, with a deviation of 4;
-* the pairs of the lists' stars are verified by their shingles. What those links leave
-  apart is looked up again: all proposed pairs of two different components are verified,
-  so the links span the components of all proposed pairs that are similar enough.
+* what passes in the lists that a task has at a time is chained to the least id of its
+  chain. All that has one such root is a group; two texts that are proposed to each other
+  are together in one;
+* a group's texts meet in one task, a long group's in pairs of blocks, and are compared by
+  their sets of shingles unless links found there join them already. What leaves a group
+  is a spanning forest of its links, never its pairs.
 
 Edge cases: a null text and one without words have fingerprint zero and link like any
 other, two of them being equal; a text of fewer words than a shingle is one shingle; a row with a null id gets
 its fingerprint and the least known id of its group; repeated ids keep all their rows;
-an empty table gives an empty result. Other columns aren't returned.
+an empty table gives an empty result. Ids are whole numbers; another type of id raises an
+error. Other columns aren't returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -45,8 +48,9 @@ import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import broadcast_if_small, cut, stored
+from tessera.llm.common import broadcast_if_small, cut
 from tessera.llm.components import connected_components, own_key, spanning_edges
 from tessera.llm.quality_rules import mix
 
@@ -132,26 +136,20 @@ def linked(x: np.ndarray, y: np.ndarray, minimum: int, max_bits: int) -> np.ndar
     return out
 
 
-def list_links(fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, cells: int = 1 << 18, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of the links of one posting list, ``cells`` pairs at a time; all links of rows that differ in ``apart``, if it is given."""
+def list_links(fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of the links of one posting list, ``cells`` pairs at a time."""
     n = len(fps)
     stars: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
-    every = [stars]
     step = max(1, cells // n)
     for i in range(0, n, step):
         a, b = np.triu_indices(min(step, n - i), 1, n - i)
-        if apart is not None:
-            other = apart[i + a] != apart[i + b]
-            a, b = a[other], b[other]
         good = linked(fps[i + a], fps[i + b], minimum, max_bits)
-        if apart is not None:
-            every.append((ids[i + a[good]], ids[i + b[good]]))
-        elif good.any():
+        if good.any():
             stars = spanning_edges(np.concatenate((stars[0], ids[i + a[good]])), np.concatenate((stars[1], ids[i + b[good]])))
-    return stars if apart is None else (np.concatenate([x for x, _ in every]), np.concatenate([y for _, y in every]))
+    return stars
 
 
-def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, apart: np.ndarray | None, minimum: int, max_bits: int, short: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, minimum: int, max_bits: int, short: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all posting lists in sorted arrays: short lists together by distance in the list, long ones one by one."""
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes = np.diff(cuts)
@@ -159,25 +157,22 @@ def partition_links(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, apart: np
     in_short = np.repeat(sizes <= short, sizes)
     for d in range(1, min(short, int(sizes.max(initial=0)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & in_short[:-d])
-        if apart is not None:
-            i = i[apart[i] != apart[i + d]]
         if len(i):
             good = linked(fps[i], fps[i + d], minimum, max_bits)
             out.append((ids[i[good]], ids[i[good] + d]))
     for k in np.flatnonzero(sizes > short):
         a, b = cuts[k], cuts[k + 1]
-        out.append(list_links(fps[a:b], ids[a:b], minimum, max_bits, apart=None if apart is None else apart[a:b]))
+        out.append(list_links(fps[a:b], ids[a:b], minimum, max_bits))
     return out
 
 
-def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets: list[tuple[int, ...]], block: int = 2048, carried: int | None = None, apart: str | None = None) -> DataFrame:
+def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets: list[tuple[int, ...]], block: int = 2048, carried: int | None = None) -> DataFrame:
     """Links (u, v) between ``nodes`` (``fp`` distinct, ``node``) that span the components of
     all pairs which share a key of ``sets``, ``minimum`` bytes, and differ in ``max_bits`` at most.
 
-    Bytes and bits are those of the first ``carried`` words, if given. With a column ``apart``,
-    a long, all such pairs which differ in it instead of links that span them."""
+    Bytes and bits are those of the first ``carried`` words, if given. Each link is from a
+    node to the least of those that pairs chain to it in the lists that a task has at a time."""
     carried = carried or size
-    extra = [] if apart is None else ["apart"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,9 +182,9 @@ def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets
                 keys = index_keys(fps, sets)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), len(sets)))
                 short = pa.array([x.tobytes() for x in fps[:, :carried]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), short.take(rows), *(c.take(rows) for c in part.columns[1:])], ["key", "fp", "node", *extra])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), short.take(rows), part.column(1).take(rows)], ["key", "fp", "node"])
 
-    postings = nodes.select("fp", "node", *([] if apart is None else [F.col(apart).alias("apart")])).mapInArrow(post, "key long, fp binary, node long" + "".join(f", {x} long" for x in extra))
+    postings = nodes.select("fp", "node").mapInArrow(post, "key long, fp binary, node long")
     long_lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / block).alias("blocks")))
     joined = postings.join(broadcast_if_small(long_lists), F.col("key") == F.col("long_key"), "left")
     own = F.coalesce(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")), F.lit(0))
@@ -197,23 +192,21 @@ def similar_links(nodes: DataFrame, size: int, max_bits: int, minimum: int, sets
     spread = joined.withColumn("own", own).withColumn("other", other)
     # a list's number: the key, and in long lists the pair of blocks
     number = F.shiftleft("key", 34) + F.shiftleft(F.least("own", "other"), 17) + F.greatest("own", "other")
-    dealt = spread.select(number.alias("list"), "fp", "node", *extra).repartition("list").sortWithinPartitions("list")
+    dealt = spread.select(number.alias("list"), "fp", "node").repartition("list").sortWithinPartitions("list")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            links = partition_links(*columns[:3], columns[3] if extra else None, minimum, max_bits)
+            links = partition_links(*columns, minimum, max_bits)
             u = np.concatenate([a for a, _ in links]) if links else np.empty(0, np.int64)
             v = np.concatenate([b for _, b in links]) if links else np.empty(0, np.int64)
-            if len(u) and extra:
-                u, v = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
-            elif len(u):
+            if len(u):
                 u, v = spanning_edges(u, v)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(0).to_numpy(), packed(batch.column(1), carried), *(c.to_numpy() for c in batch.columns[2:])]
+            columns = [batch.column(0).to_numpy(), packed(batch.column(1), carried), batch.column(2).to_numpy()]
             if rest is not None:
                 columns = [np.concatenate((a, b)) for a, b in zip(rest, columns, strict=True)]
             if not len(columns[0]):
@@ -236,14 +229,43 @@ def packed(column: pa.Array, size: int) -> np.ndarray:
     return np.ascontiguousarray(raw[first : first + len(column) * size * 8]).view(np.uint64).reshape(-1, size)
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty ones are equal."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+def group_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of all pairs of ``sets`` (sorted, without repeats) of ``similarity`` at least.
+
+    Each set meets, at once, all later ones that links found so far don't join to it. Two empty ones are equal."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    marked = np.zeros(len(values), dtype=np.int64)
+    label = np.arange(n)
+    out = []
+    for i in range(n - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(j):
+            if (label == label[0]).all():
+                break
+            continue
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+        if not len(j):
+            continue
+        own = numbers[cuts[i] : cuts[i + 1]]
+        marked[own] = 1
+        at = np.repeat(cuts[j] - np.concatenate(([0], np.cumsum(size[j])[:-1])), size[j]) + np.arange(size[j].sum())
+        total = np.concatenate(([0], np.cumsum(marked[numbers[at]])))
+        common = np.diff(total[np.concatenate(([0], np.cumsum(size[j])))])
+        marked[own] = 0
+        near = j[common >= similarity * (size[i] + size[j] - common)]
+        for k in near.tolist():
+            if label[k] != label[i]:
+                out.append((i, k))
+                label[label == label[k]] = label[i]
+    return out
 
 
-def similar_pairs(df: DataFrame, pairs: DataFrame, id_column: str, text: str, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v: ids), materialised, whose texts' sets of shingles have ``similarity`` at least.
+def verified_links(df: DataFrame, proposed: DataFrame, id_column: str, text: str, words: int, similarity: float, block: int) -> DataFrame:
+    """Links (u, v) that span the components of all pairs of a group whose texts' sets of shingles
+    have ``similarity`` at least. ``proposed``, materialised: (u, v), a node and the root of its group.
 
     Where an id has several texts, one pair of them is enough."""
 
@@ -255,37 +277,49 @@ def similar_pairs(df: DataFrame, pairs: DataFrame, id_column: str, text: str, wo
                 data = [tool.compress(b" ".join((t or "").encode().lower().split())) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["n", "words"])
 
-    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("end")).distinct())
+    roots = proposed.select(F.col("v").alias("root"), F.col("v").alias("node")).distinct()
+    members = cut(proposed.select(F.col("v").alias("root"), F.col("u").alias("node")).unionByName(roots))
     own = df.select(F.col(id_column).cast("long").alias("n"), F.col(text).alias("t"))
+    ends = cut(members.select(F.col("node").alias("end")).distinct())
     chosen = own.join(broadcast_if_small(ends), F.col("n") == F.col("end"), "left_semi")
-    texts = stored(chosen.mapInArrow(words_of, "n long, words binary").distinct(), "pair-texts")
-    left = texts.select(own_key("n").alias("a"), F.col("words").alias("x"))
-    right = texts.select(own_key("n").alias("b"), F.col("words").alias("y"))
-    joined = pairs.join(left, F.col("u") == F.col("a")).join(right, F.col("v") == F.col("b")).select("u", "v", "x", "y")
+    texts = chosen.mapInArrow(words_of, "n long, words binary").distinct()
+    long_groups = cut(members.groupBy(F.col("root").alias("long_root")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("long_root", F.ceil(F.col("size") / block).alias("blocks")))
+    spread = members.join(broadcast_if_small(long_groups), F.col("root") == F.col("long_root"), "left")
+    spread = spread.withColumn("own", F.coalesce(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")), F.lit(0)))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    spread = spread.select("root", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), own_key("node").alias("node"))
+    lists = ["root", "b0", "b1"]
+    met = spread.join(texts, F.col("node") == F.col("n")).select(*lists, "node", "words")
+    dealt = met.repartition(*lists).sortWithinPartitions(*lists, "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstd.ZstdDecompressor()
-        shingles = lru_cache(maxsize=16)(lambda data: np.unique(shingle_hashes(tool.decompress(data).split(), words)))
+        held: list[tuple[int, np.ndarray]] = []
+        now = None
+
+        def found() -> pa.RecordBatch:
+            links = group_links([x for _, x in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([held[b][0] for _, b in links], pa.int64()), pa.array([held[a][0] for a, _ in links], pa.int64())], ["u", "v"])
+
         for batch in batches:
-            good = [similarity_of(shingles(x.as_py()), shingles(y.as_py())) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            for root, b0, b1, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, b0, b1) != now:
+                    if len(held) > 1:
+                        yield found()
+                    held, now = [], (root, b0, b1)
+                held.append((node, np.unique(shingle_hashes(tool.decompress(data).split(), words))))
+        if len(held) > 1:
+            yield found()
 
-    return cut(joined.mapInArrow(check, "u long, v long").distinct())
+    return dealt.mapInArrow(check, "u long, v long")
 
 
 def similar_components(df: DataFrame, nodes: DataFrame, id_column: str, text: str, words: int, size: int, max_bits: int, minimum: int, similarity: float, block: int) -> DataFrame:
     """(node, component) of the links of ``similarity`` among the pairs that the index proposes."""
     sets = [p for g in range(0, POSITIONS * size, GROUP) for p in combinations(range(g, min(g + GROUP, POSITIONS * size)), 2)]
-    options = {"block": block, "carried": min(CARRIED, size)}
-    proposed = cut(similar_links(nodes, size, max_bits, minimum, sets, **options).distinct())
-    links = similar_pairs(df, proposed, id_column, text, words, similarity)
-    component = connected_components(links, "u", "v")
-    ends = proposed.select(F.explode(F.array("u", "v")).alias("end")).distinct()
-    open_ = nodes.join(ends, F.col("node") == F.col("end"), "left_semi").join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    open_ = cut(open_.select("fp", "node", F.coalesce("component", "node").alias("component")))
-    across = similar_links(open_, size, max_bits, minimum, sets, apart="component", **options).distinct()
-    more = similar_pairs(df, cut(across.join(proposed, ["u", "v"], "left_anti")), id_column, text, words, similarity)
-    return connected_components(links.unionByName(more), "u", "v")
+    proposed = cut(similar_links(nodes, size, max_bits, minimum, sets, block, min(CARRIED, size)).distinct())
+    links = verified_links(df, proposed, id_column, text, words, similarity, block // 2)
+    return connected_components(links, "u", "v", contracted=True)
 
 
 def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, size: int = 10, max_bits: int = 40, minimum: int | None = None, similarity: float = 0.8, block: int = 2048) -> DataFrame:
@@ -293,6 +327,8 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     The defaults link texts whose sets of five-word shingles have a similarity of 0.8 at least.
     With ``size`` 1 all pairs within ``max_bits`` (6 at most) link, and ``similarity`` isn't used."""
+    if not isinstance(df.schema[id_column].dataType, T.IntegralType):
+        raise TypeError(f"{id_column} has to be a whole number")
     rows = cut(fingerprints(df, id_column, text, words, size, once=size > 1))
     # a fingerprint of rows without an id has no node to link by
     nodes = rows.groupBy("fp").agg(F.min(id_column).cast("long").alias("node"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import simhash
 
 WORDS = 204
@@ -69,3 +71,57 @@ def test_a_chain_is_one_group_and_a_hub_links_nothing_by_itself(spark):
     assert similarity(rows[6][1], rows[7][1]) < 0.8 > similarity(rows[6][1], rows[8][1])
     got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(6), 0) | {10: 10, 11: 11, 12: 11}
+
+
+def test_group_links_span_the_components_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 40, 40)
+        sets = []
+        for _ in range(rng.integers(2, 25)):
+            x = base.copy()
+            x[: rng.integers(0, 12)] = rng.integers(0, 1 << 40)
+            sets.append(np.unique(np.concatenate((x[rng.random(40) < 0.97], rng.integers(0, 1 << 40, rng.integers(0, 4))))).astype(np.uint64))
+        sets += [np.empty(0, np.uint64)] * int(rng.integers(0, 3))
+        n = len(sets)
+
+        def components(links):
+            root = list(range(n))
+            for a, b in links:
+                old, new = root[b], root[a]
+                root = [new if r == old else r for r in root]
+            return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+        def jaccard(a, b):
+            common = len(np.intersect1d(a, b))
+            return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+        got = simhash.group_links(sets, 0.8)
+        assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
+        assert len(got) < n
+        assert components(got) == components([(a, b) for a in range(n) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])
+
+
+def test_long_groups_in_blocks(spark):
+    rng = random.Random(11)
+    pairs = [pair(rng, 20) for _ in range(3)]
+    base = pairs[0][0].split()
+    texts = [t for p in pairs for t in p]
+    # a group of texts at 0.6 to 0.8 of each other, in which only some pairs are near
+    for k in range(30):
+        words = base[:]
+        for i in range(k % 10, 204, 14):
+            words[i] = f"x{k % 10}"
+        if k >= 10:
+            words[-k:] = [f"y{k}_{i}" for i in range(k)]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    for block in (8, 2048):
+        got = {r.doc_id: r.component_id for r in simhash.simhash_groups(df, block=block).collect()}
+        assert got == dict(enumerate(root))
