@@ -232,7 +232,12 @@ def vocabulary(path: str) -> Ranks:
 
 
 class Encoder:
-    """Texts to ids, with the pieces' ids cached as decimal text; the cache empties when it is full."""
+    """Texts to ids, with the pieces' ids cached as decimal text.
+
+    The cache empties when it is full, and a piece of more than ``LONGEST`` characters stays
+    for its own texts only, so the cache has a bound in bytes."""
+
+    LONGEST = 64
 
     def __init__(self, ranks: Ranks, pattern: str, cache_pieces: int = 600_000):
         self.ranks, self.split, self.cache_pieces = ranks, regex.compile(pattern).findall, cache_pieces
@@ -258,7 +263,11 @@ class Encoder:
                 fresh = missing
             self.learn(fresh)
         get = self.cache.__getitem__
-        return [" ".join(map(get, pieces)) for pieces in split]
+        out = [" ".join(map(get, pieces)) for pieces in split]
+        for piece in fresh:
+            if len(piece) > self.LONGEST:
+                del self.cache[piece]
+        return out
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.ranks.piece_of.__getitem__, ids.split(" "))) if ids else b""

@@ -3,6 +3,9 @@
 Edges stay distributed; each round is written to the shared folder and cuts the
 lineage. A node's smallest neighbour comes from a partial minimum before the
 exchange, and the join back carries the edges, whose hot nodes the engine splits.
+
+Edge cases: edges with a null end and from a node to itself link nothing; repeated edges
+count once; nodes are numbers; no edges give no rows.
 """
 
 from __future__ import annotations

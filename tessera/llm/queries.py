@@ -148,9 +148,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an 8-bit WAV clip, read back, with the digest of its features."""
+    """Every text as an 8-bit WAV clip, read back, with its features, their digest and the time spans.
+
+    ``tensor`` has a fixed shape; :func:`audio.tensor_array` gives a column of it as Arrow tensors."""
     out = audio.audio_features(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").alias("n_spans"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

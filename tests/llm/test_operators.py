@@ -545,3 +545,52 @@ def test_rules_without_any_hash(texts):
         patch.setattr(quality_rules, "mix", lambda h: np.zeros_like(h))
         m = quality_rules.measure(raw, offsets, (5,))
     assert np.column_stack([m[c] for c in names]).tolist() == [brute_rules(t) for t in texts]
+
+
+def test_features_against_a_plain_transform():
+    rng = np.random.default_rng(4)
+    samples = bytes(rng.integers(0, 256, 3000, dtype=np.uint8))
+    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    x = x - x.mean()
+    # resampling: each output sample straight from the interpolating filter, tap by tap
+    n_taps, up, down = audio.TAPS * audio.UP, audio.UP, audio.DOWN
+    t = np.arange(n_taps) - (n_taps - 1) / 2
+    h = np.sinc(t / max(up, down)) / max(up, down) * np.hamming(n_taps)
+    y = []
+    for k in range(len(x) * up // down):
+        at, phase = divmod(k * down, up)
+        taps = h[phase::up]
+        taps = taps / taps.sum()
+        y.append(sum(taps[j] * (x[i] if 0 <= (i := at + audio.TAPS // 2 - 1 - j) < len(x) else 0.0) for j in range(audio.TAPS)))
+    y = np.array(y)
+    assert audio.resample(x.astype(np.float32)) == pytest.approx(y, abs=1e-4)
+    frames = [y[i : i + audio.WINDOW] * np.hanning(audio.WINDOW) for i in range(0, len(y) - audio.WINDOW + 1, audio.HOP)]
+    k, i = np.arange(audio.WINDOW // 2 + 1)[:, None], np.arange(audio.WINDOW)[None, :]
+    power = np.array([np.abs((f[None, :] * np.exp(-2j * np.pi * k * i / audio.WINDOW)).sum(axis=1)) ** 2 for f in frames])
+    mel = np.log10(power @ audio.mel_bank() + 1e-6)
+    edges = np.linspace(0, len(mel), audio.FRAMES + 1).astype(int)
+    want = np.stack([mel[a : max(b, a + 1)].mean(axis=0) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    got, _ = audio.features(samples)
+    assert got == pytest.approx(want, abs=0.02)
+
+
+def test_sizes_by_plain_compression(spark):
+    samples = {"aa": b"abc def ghi jkl " * 200, "bb": b"xyz uvw rst opq " * 200}
+    texts = ["abc def " * 100, "xyz abc uvw " * 400, "opq", "Rst, uvw!"]
+    got = {r.doc_id: r for r in langid.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples).collect()}
+    for i, t in enumerate(texts):
+        data = langid.letters(t)
+        sizes = {}
+        for name, sample in samples.items():
+            packer = langid.Packer(sample, 1500)
+            if len(data) < langid.SHORT:
+                sizes[name] = len(packer.tool.compress(packer.context + data)) - len(packer.tool.compress(packer.context))
+            else:
+                sizes[name] = sum(len(packer.tool.compress(data[a : a + 2048])) for a in range(0, len(data), 2048))
+        best = min(sizes, key=lambda k: (max(1, sizes[k]), k))
+        assert got[i].lang_best == best
+
+
+def test_ids_have_to_be_numbers(spark):
+    with pytest.raises(TypeError):
+        simhash.simhash_groups(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
