@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns what
 it keeps; all but the last return the columns of ``documents``.
+
+Edge cases, the same in every stage: a null or empty text has no words, so the quality
+rules drop it if the classifier hasn't; texts of any length are worked on whole; ties are
+broken by the id (the least of a group of near-duplicates stays, equal lengths are packed in
+any order); repeated rows are judged one by one, and rows that repeat an id share its
+near-duplicate decision; rows without an id are never near-duplicates of others; extra
+columns pass through all stages but the last; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import ordinal, packing, quality_rules, simhash
-from tessera.llm.common import read_table, work_path
+from tessera.llm.common import WORK, discard, read_table, work_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage read or left in the shared folder is removed once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
+    others = set(WORK)
     for name, stage in STAGES:
         where = work_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        discard(spark, others | {where})
     return docs

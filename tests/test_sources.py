@@ -49,7 +49,14 @@ def test_xlsx(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(workbook([["id no", "w", "t"], [1, 1.5, "a"], [None, 2, None]]))
     df = files.read_xlsx(spark, str(tmp_path / "b.xlsx"))
     assert df.dtypes == [("id_no", "bigint"), ("w", "double"), ("t", "string")]
-    assert [tuple(r) for r in df.collect()] == [(1, 1.5, "a"), (-999, 2.0, "None")]
+    assert [tuple(r) for r in df.collect()] == [(1, 1.5, "a"), (None, 2.0, None)]
+    (tmp_path / "c.xlsx").write_bytes(files.xlsx_bytes([["id no", "w", "t"], [2.5, None, "x & <y>"], [4, "n", None]]))
+    both = files.read_xlsx(spark, str(tmp_path / "*.xlsx"))
+    assert both.dtypes == [("id_no", "double"), ("w", "string"), ("t", "string")]
+    assert sorted(map(str, (tuple(r) for r in both.collect()))) == sorted(map(str, [(1.0, "1.5", "a"), (None, "2", None), (2.5, None, "x & <y>"), (4.0, "n", None)]))
+    (tmp_path / "d.xlsx").write_bytes(files.xlsx_bytes([["other"], [1]]))
+    with pytest.raises(ValueError):
+        files.read_xlsx(spark, str(tmp_path / "*.xlsx"))
     with pytest.raises(IndexError):
         files.parse_xlsx((tmp_path / "b.xlsx").read_bytes(), sheet=3)
 
