@@ -537,7 +537,11 @@ def concave_hull(spark, sf_dir):
     return held.join(sizes, F.col("grp") == F.col("g")).select("grp", "held", "smaller")
 
 
-@query()
+@query(f"""WITH RECURSIVE {XY}, n AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY x, y) - 1 AS INT) AS i, x, y FROM xy),
+e AS (SELECT a.grp, a.i AS a, b.i AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM n a JOIN n b ON a.grp = b.grp AND a.i <> b.i),
+t(grp, seen, a, b, d) AS (SELECT DISTINCT grp, [0], -1, 0, 0.0::DOUBLE FROM n
+UNION ALL SELECT t.grp, list_append(t.seen, arg_min(e.b, e.d)), arg_min(e.a, e.d), arg_min(e.b, e.d), min(e.d) FROM t JOIN e ON e.grp = t.grp AND list_contains(t.seen, e.a) AND NOT list_contains(t.seen, e.b) GROUP BY t.grp, t.seen)
+SELECT grp, a AS "Orig", b AS "Dest", round(d, 6) AS "Dist" FROM t WHERE a >= 0""")
 def spanning_tree(spark, sf_dir):
     return rounded(grouped.spanning_trees(xy(spark, sf_dir), "grp"))
 
