@@ -112,6 +112,6 @@ def predict_languages(df: DataFrame, samples: dict[str, bytes], id_column: str =
     return df.select(id_column, text).mapInArrow(kernel, f"{id_column} {id_type}, {SCHEMA}")
 
 
-def identify_languages(df: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 40, **options: object) -> DataFrame:
+def identify_languages(df: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 100, **options: object) -> DataFrame:
     """:func:`sample_texts` of ``train``, then :func:`predict_languages` of ``df``."""
     return predict_languages(df, sample_texts(train, text, lang, rows_per_lang), id_column, text, **options)
