@@ -110,11 +110,11 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray
     words = counts.where(F.length("word") > 0)
     total, chosen = 0, F.lit(False)
     for at, n in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
-        share = min(1.0, (most - total) / n)
-        chosen = chosen | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))))
-        total += n
-        if total >= most:
+        if total + n > most:
+            below = int((most - total) / n * (1 << 30))
+            chosen = chosen | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < below))
             break
+        total, chosen = total + n, level >= at
     rows = words.where(chosen).toArrow()
     pairs = sorted(zip(rows["c"].to_pylist(), rows["word"].to_pylist(), strict=True), key=lambda p: (-p[0], p[1]))
     return [w for _, w in pairs], np.array([c for c, _ in pairs], dtype=np.int64)
