@@ -91,16 +91,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
-#: Coverage of words by windows of ``n``: from window ``k`` of a kind on.
-OP4_GRAMS = """
-g{n} AS (SELECT doc_id, ws, i, {which} FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {n} + 1)) AS i FROM w) QUALIFY {test}),
-c{n} AS (SELECT doc_id, {what} AS v FROM (SELECT DISTINCT doc_id, p, length(ws[p]) AS chars FROM (SELECT doc_id, ws, unnest(generate_series(i, i + {n} - 1)) AS p FROM g{n})) GROUP BY doc_id),"""
+def _op4_grams(n: int, which: str, what: str) -> str:
+    """Words in windows of ``n`` whose ``which`` number in their text is over 1, counted as ``what``; words hold no spaces."""
+    gram = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))])
+    return f"""
+g{n} AS (SELECT doc_id, i, {which} AS k FROM (SELECT doc_id, i, {gram} AS gram FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL),
+c{n} AS (SELECT doc_id, {what} AS v FROM (SELECT DISTINCT doc_id, i + s AS i FROM g{n}, range({n}) t(s) WHERE k > 1) JOIN u USING (doc_id, i) GROUP BY doc_id),"""
+
+
+_EARLIER = "row_number() OVER (PARTITION BY doc_id, gram ORDER BY i)"
 OP4_SQL = (
     r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),"""
-    + OP4_GRAMS.format(n=3, which="count(*) OVER (PARTITION BY doc_id, ws[i:i + 2]) AS k", test="k > 1", what="count(*)")
-    + "".join(OP4_GRAMS.format(n=n, which=f"row_number() OVER (PARTITION BY doc_id, ws[i:i + {n - 1}] ORDER BY i) AS k", test="k > 1", what="CAST(sum(chars) AS BIGINT)") for n in (5, 7, 10))
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),"""
+    + _op4_grams(3, "count(*) OVER (PARTITION BY doc_id, gram)", "count(*)")
+    + "".join(_op4_grams(n, _EARLIER, "CAST(sum(length(word)) AS BIGINT)") for n in (5, 7, 10))
     + r"""
 l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
 ]')),
