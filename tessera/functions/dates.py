@@ -21,9 +21,10 @@ def date_text(c: Column | str) -> Column:
 
 
 def time_part(c: Column | str) -> Column:
-    """``HH h MM m SS.ss s``; seconds five wide."""
-    seconds = F.date_format(col(c), "ss").cast("int") + F.date_format(col(c), "SSSSSS").cast("double") / 1e6
-    return F.format_string("%s h %s m %6.2f s", F.date_format(col(c), "HH"), F.date_format(col(c), "mm"), seconds)
+    """``HH h MM m SS.ss s``; seconds five wide, their hundredths rounded in binary as C's ``round`` does (1.005 s: 100.49... of them)."""
+    hundredths = (F.date_format(col(c), "ss").cast("int") + F.date_format(col(c), "SSSSSS").cast("double") / 1e6) * 100
+    seconds = F.floor(hundredths) + (hundredths - F.floor(hundredths) >= 0.5).cast("int")
+    return F.format_string("%s h %s m %6.2f s", F.date_format(col(c), "HH"), F.date_format(col(c), "mm"), seconds / 100)
 
 
 def add_interval(c: Column | str, hours: int = 0, days: int = 0) -> Column:

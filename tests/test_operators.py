@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, planar, text
 from tessera.operators import points, shapes, tables, windows
+from tessera.plans import catalog  # noqa: F401
 from tessera.plans.ordered import Ordered
+from tessera.plans.registered import ORACLE_SQL, QUERIES
+from tests.oracle import assert_same, connect
 
 
 def frame(spark, rows, schema):
@@ -136,6 +139,12 @@ def test_dates(spark):
     assert list(got) == ["2017-06-17", "20 h 35 m  58.78 s", "75-15-00.00W", "75 15.00' W"]
 
 
+def test_time_part_rounds_ties_as_its_sql(spark, tmp_path):
+    """Every time of a minute that ends in half a hundredth, and its neighbours."""
+    spark.sql("SELECT 3 * id + k AS event_id, timestamp_micros(1704067200000000 + id * 10000 + 4999 + k) AS ts FROM range(6000) LATERAL VIEW explode(array(0, 1, 2)) AS k").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert_same(QUERIES["time_part"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["time_part"])
+
+
 def test_transects(spark):
     got = shapes.transects(spark, 5, 0, 0, 100, x_offset=10, bearing=45).orderBy("line_id").collect()
     assert [(r.X_from, round(r.X_to, 2), round(r.Y_to, 2)) for r in got] == [(10.0 * i, round(70.71 + 10 * i, 2), 70.71) for i in range(5)]
