@@ -2,8 +2,8 @@
 
 Nearest neighbours are found through a grid: each place meets the places of its own and
 the eight cells around it, and its answer is final once its k-th neighbour is no farther
-than a cell's side. Places that are left go on with cells of twice the side, until the
-grid is one cell. The first side is that of the densest part, found by counting, so one
+than a cell's side. Places that are left go on with cells of twice the side, or more where
+they meet few points, until the grid is one cell. The first side is that of the densest part, found by counting, so one
 far point doesn't widen the others' cells; points at one place are one, of which no more
 than the k + 1 least ids can be an answer. Squared distances are compared; the root is
 taken of what is kept.
@@ -34,15 +34,52 @@ def _least_ids(points: DataFrame, most: int, parts: int = 64) -> DataFrame:
 
 
 def first_side(points: DataFrame, n: int, side: float, k: int, least: float) -> float:
-    """A side at which no cell has many more than k points, if there is one of ``least`` or more: quartered until the densest cell says so."""
+    """A side at which no cell has many more than k points, if there is one of ``least`` or more: narrowed until the densest cell says so."""
     while side > least:
         most = points.groupBy(_cell(F.col("x2"), side), _cell(F.col("y2"), side)).count().agg(F.max("count")).first()[0]
-        if most <= 16 * (k + 1):
+        if most <= 8 * (k + 1):
             break
-        side /= 4
+        # among the parts of the densest cell, one has its share at least
+        side /= 2 ** max(1, int(math.log(most / (8 * (k + 1)), 4)))
     return side
 
 
+def _met(places: DataFrame, points: DataFrame, side: float, wanted: int, most: int = 1024) -> DataFrame:
+    """``x, y, near`` of the places with points around them: the ``wanted`` nearest of their own and the eight cells, by (d2, id2).
+
+    A cell's row holds the points around it in a list, and a list of the nearest is taken where it meets a place,
+    so pairs are never rows. Cells that no place asks for are left out; where cells of a wide side hold many points,
+    all are dealt in lists of about ``most``, and each list's nearest are merged."""
+    own = {"cx": _cell(F.col("x"), side), "cy": _cell(F.col("y"), side)}
+    asking = places.withColumns(own)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    lent = points.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
+    lent = lent.select("id2", "x2", "y2", (_cell(F.col("x2"), side) + F.col("ox")).alias("cx"), (_cell(F.col("y2"), side) + F.col("oy")).alias("cy"))
+    lent = lent.join(asking.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    densest = lent.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 1
+    lists = math.ceil(densest / most)
+    deal = F.pmod(F.xxhash64("id2", F.lit(11)), F.lit(lists)) if lists > 1 else F.lit(0)
+    cells = materialise(lent.groupBy("cx", "cy", deal.alias("list")).agg(F.collect_list(F.struct("id2", "x2", "y2")).alias("all")))
+    measured = F.transform("all", lambda q: F.struct(squared_distance(F.col("x"), F.col("y"), q["x2"], q["y2"]).alias("d2"), q["id2"].alias("id2"), q["x2"].alias("x2"), q["y2"].alias("y2")))
+    near = asking.join(cells, ["cx", "cy"]).select("x", "y", F.slice(F.array_sort(measured), 1, wanted).alias("near"))
+    if lists > 1:
+        near = near.groupBy("x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, wanted).alias("near"))
+    return materialise(near)
+
+
+def _widening(places: DataFrame, points: DataFrame, side: float, budget: int) -> float:
+    """The most of a few factors for the side at which places and the points of their own cells make no more pairs than ``budget``; 2 at least."""
+    factors = [2.0, 4.0, 16.0, 256.0, 65536.0]
+
+    def counted(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
+        at = df.withColumn("f", F.explode(F.array(*[F.lit(f) for f in factors])))
+        return at.groupBy("f", F.floor(F.col(x) / (F.lit(side) * F.col("f"))).alias("cx"), F.floor(F.col(y) / (F.lit(side) * F.col("f"))).alias("cy")).agg(F.count(F.lit(1)).alias(name))
+
+    met = counted(places, "x", "y", "a").join(counted(points, "x2", "y2", "b"), ["f", "cx", "cy"]).groupBy("f").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs")).collect()
+    pairs = {r.f: r.pairs for r in met}
+    return max(f for f in factors if f == 2.0 or pairs.get(f, 0) <= budget)
+
+
 def nearest(origins: DataFrame, points: DataFrame, k: int, exclude_same: bool = False, side: float | None = None) -> DataFrame:
     """The k nearest ``points`` of each of ``origins`` (both id, x, y).
 
@@ -59,34 +96,29 @@ def nearest(origins: DataFrame, points: DataFrame, k: int, exclude_same: bool =
     whole = max(right - left, top - bottom, 1e-9)
     reach = max(right, o_box[2]) - min(left, o_box[0]) + max(top, o_box[3]) - min(bottom, o_box[1]) + whole
     side = side or first_side(p, n, whole * math.sqrt(max(k, 1) / n), wanted, whole * 2.0**-40)
-    rank = Window.partitionBy("x", "y").orderBy("d2", "id2")
-    places = o.select("x", "y").distinct()
     done: list[DataFrame] = []
-    rest = places
+    rest = o.select("x", "y").distinct()
     while True:
         last = side >= reach
-        cells = p.withColumns({"cx": _cell(F.col("x2"), side), "cy": _cell(F.col("y2"), side)})
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        asked = rest.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("x", "y", (_cell(F.col("x"), side) + F.col("ox")).alias("cx"), (_cell(F.col("y"), side) + F.col("oy")).alias("cy"))
-        met = asked.join(cells, ["cx", "cy"]).withColumn("d2", squared_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-        found = materialise(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= wanted).drop("cx", "cy"))
+        found = _met(rest, p, side, wanted)
         if last:
             done.append(found)
             break
-        settled = found.where((F.col("n") == wanted) & (F.col("d2") <= side * side)).select("x", "y")
-        done.append(found.join(settled, ["x", "y"], "left_semi"))
-        rest = materialise(rest.join(settled, ["x", "y"], "left_anti"))
+        settled = F.when(F.size("near") == wanted, F.element_at("near", -1)["d2"] <= side * side).otherwise(False)
+        done.append(found.where(settled))
+        rest = materialise(rest.join(found.where(settled).select("x", "y"), ["x", "y"], "left_anti"))
         if rest.isEmpty():
             break
-        side *= 2
+        side *= _widening(rest, p, side, n)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     # every origin of a place has its answer, less itself
-    out = o.join(out.select(F.col("x").alias("__x"), F.col("y").alias("__y"), "id2", "x2", "y2", "d2", "n"), (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
+    out = o.join(out.select(F.col("x").alias("__x"), F.col("y").alias("__y"), "near"), (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
     if exclude_same:
-        out = out.where("id <> id2").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d2", "id2"))).where(F.col("n") <= k)
-    return out.select("id", "x", "y", "n", "id2", "x2", "y2", F.sqrt("d2").alias("d"))
+        out = out.withColumn("near", F.slice(F.filter("near", lambda q: q["id2"] != F.col("id")), 1, k))
+    out = out.select("id", "x", "y", F.posexplode("near").alias("n", "q"))
+    return out.select("id", "x", "y", (F.col("n") + 1).alias("n"), "q.id2", "q.x2", "q.y2", F.sqrt("q.d2").alias("d"))
 
 
 def distance_pairs(origins: DataFrame, destinations: DataFrame, within: float) -> DataFrame:

@@ -121,3 +121,17 @@ def test_focal_cells_in_three_axes(spark):
     cube = np.arange(60, dtype=float).reshape(5, 3, 4)
     got = {(r.a, r.b, r.c): r.focal for r in windows.focal_cells(cells, {"a": 2, "b": 3, "c": 2}, F.sum("value"), {"c": 2}).collect()}
     assert got == {(a, 0, c): cube[c : c + 2, 0:3, a : a + 2].sum() for a in range(3) for c in (0, 2)}
+
+
+def test_nearest_orders_no_rows_of_pairs(spark, monkeypatch):
+    """What each point meets in the cells around it stays in lists: of all that is kept, only the least ids at a place are found by a window."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    plans, keep = [], points.materialise
+    monkeypatch.setattr(points, "materialise", lambda d: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), keep(d))[1])
+    got = {}
+    for r in points.nearest(df, df, 2, exclude_same=True).collect():
+        got.setdefault(r.id, []).append((r.n, r.id2, r.d))
+    assert len(plans) > 1 and not any("Window" in p for p in plans[1:])
+    assert {i: sorted(v) for i, v in got.items()} == brute(rows, rows, 2, True)
