@@ -96,8 +96,12 @@ def _flat(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[tuple[int, np.ndarray]]]) -> DataFrame:
-    """Vertex rows of the numbered parts that a kernel makes of each row's ring; no shuffle, one batch out for each in."""
+    """``key, part, ring``: the numbered parts that a kernel makes of each row's ring; one batch out for each in.
+
+    The rows are dealt out first, for a small file can hold millions of rings in one split."""
     kind = df.schema[key].dataType.simpleString()
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,32 +114,40 @@ def _per_ring(df: DataFrame, key: str, kernel: Callable[[np.ndarray], list[tuple
                     rings.append(ring)
             sizes = np.array([len(r) for r in rings[1:]], dtype=np.int64)
             out = np.concatenate(rings)
-            place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(np.array(rows, dtype=np.int64), sizes))), pa.array(np.repeat(np.array(numbers, dtype=np.int32), sizes)), pa.array(place.astype(np.int32)), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())],
-                [key, "part", "pnt_id", "x", "y"],
-            )
+            corners = pa.StructArray.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["x", "y"])
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, dtype=np.int64))), pa.array(np.array(numbers, dtype=np.int32)), pa.ListArray.from_arrays(ends, corners)], [key, "part", "ring"])
 
-    return df.select(key, "ring").mapInArrow(run, f"{key} {kind}, {VERTEX}")
+    dealt = df.select(key, "ring").repartition(tasks, F.xxhash64(key, "ring"))
+    return dealt.mapInArrow(run, f"{key} {kind}, part int, ring array<struct<x:double,y:double>>")
 
 
-def split_polygons(df: DataFrame, key: str, how: str, factor: float, axis: str = "X") -> DataFrame:
-    """Vertex rows of the parts, numbered along the axis; a concave polygon can have several in one strip, each its own part."""
+def _vertices(parts: DataFrame, key: str) -> DataFrame:
+    return parts.select(key, "part", F.posexplode("ring").alias("pnt_id", "p")).select(key, "part", "pnt_id", "p.x", "p.y")
+
+
+def split_rings(df: DataFrame, key: str, how: str, factor: float, axis: str = "X") -> DataFrame:
+    """``key, part, ring`` of the parts, numbered along the axis; a concave polygon can have several in one strip, each its own part."""
     return _per_ring(df, key, lambda r: list(enumerate(kernels.split_polygon(r, how, factor, axis))))
 
 
+def split_polygons(df: DataFrame, key: str, how: str, factor: float, axis: str = "X") -> DataFrame:
+    """Vertex rows of :func:`split_rings`."""
+    return _vertices(split_rings(df, key, how, factor, axis), key)
+
+
 def split_by_sector(df: DataFrame, key: str, n: int) -> DataFrame:
     """Vertex rows; the part number is ``wedge * 100000 + sector piece``."""
-    return _per_ring(df, key, lambda r: [(w * 100_000 + i, p) for w, pieces in enumerate(kernels.split_sectors(r, n)) for i, p in enumerate(pieces)])
+    return _vertices(_per_ring(df, key, lambda r: [(w * 100_000 + i, p) for w, pieces in enumerate(kernels.split_sectors(r, n)) for i, p in enumerate(pieces)]), key)
 
 
 def clip_polygons(df: DataFrame, key: str, left: float, bottom: float, right: float, top: float) -> DataFrame:
     """Vertex rows of the parts that each polygon has inside an extent."""
-    return _per_ring(df, key, lambda r: list(enumerate(kernels.clip_box(r, left, bottom, right, top))))
+    return _vertices(_per_ring(df, key, lambda r: list(enumerate(kernels.clip_box(r, left, bottom, right, top)))), key)
 
 
-def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
-    """Delaunay triangles of each polygon's vertices whose centroid lies inside the polygon."""
+def triangle_rings(df: DataFrame, key: str) -> DataFrame:
+    """``key, part, ring`` of the Delaunay triangles of each polygon's vertices whose centroid lies inside the polygon; rings are open."""
 
     def parts(r: np.ndarray) -> list[tuple[int, np.ndarray]]:
         tri = kernels.distinct_sorted(r)[kernels.delaunay(r)]
@@ -144,6 +156,11 @@ def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
     return _per_ring(df, key, parts)
 
 
+def triangulate_polygons(df: DataFrame, key: str) -> DataFrame:
+    """Vertex rows of :func:`triangle_rings`."""
+    return _vertices(triangle_rings(df, key), key)
+
+
 def geodesic(lon0: Column | str, lat0: Column | str, lon1: Column | str, lat1: Column | str) -> Column:
     """struct Distance_m, Orig_Bearing, Dest_Bearing."""
 

@@ -26,10 +26,12 @@ def rings(df: DataFrame, key: str, order: str = "pnt_id", close: bool = False) -
     """Vertex rows to one ring for each key, in the order given."""
     ring = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
     out = df.groupBy(key).agg(ring.alias("ring"))
-    if close:
-        r = F.col("ring")
-        out = out.withColumn("ring", F.when(F.element_at(r, 1) != F.element_at(r, -1), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
-    return out
+    return out.withColumn("ring", closed(F.col("ring"))) if close else out
+
+
+def closed(ring: Column) -> Column:
+    """The first vertex once more at the end, where it isn't there."""
+    return F.when(F.element_at(ring, 1) != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
 
 def single_parts(df: DataFrame, parts: str = "parts") -> DataFrame:

@@ -500,8 +500,8 @@ def polygon_points(spark, sf_dir):
 
 @query("""SELECT id, round(sum(w * h), 6) AS area, count(*) AS parts FROM (SELECT p_partkey AS id, p_size AS w, p_retailprice / 100 / 4 AS h FROM part, range(4)) GROUP BY id""")
 def split_polygons(spark, sf_dir):
-    parts = shapes.rings(grouped.split_polygons(squares(spark, sf_dir), "id", "extent", 4, "Y").withColumn("key", F.struct("id", "part")), "key")
-    return rounded(parts.groupBy(F.col("key.id").alias("id")).agg(F.sum(planar.ring_area(F.col("ring"))).alias("area"), F.count(F.lit(1)).alias("parts")))
+    parts = grouped.split_rings(squares(spark, sf_dir), "id", "extent", 4, "Y")
+    return rounded(parts.groupBy("id").agg(F.sum(planar.ring_area(F.col("ring"))).alias("area"), F.count(F.lit(1)).alias("parts")))
 
 
 #: Directed sides of each group's convex hull: all other points lie to their left.
@@ -590,8 +590,8 @@ def centroids(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, CAST(2 AS BIGINT) AS triangles, round(p_size * p_retailprice / 100, 6) AS area FROM part")
 def triangulate_polygons(spark, sf_dir):
-    triangles = grouped.triangulate_polygons(squares(spark, sf_dir), "id")
-    whole = shapes.rings(triangles.withColumn("key", F.struct("id", "part")), "key", close=True).select(F.col("key.id").alias("id"), planar.ring_area(F.col("ring")).alias("area"))
+    triangles = grouped.triangle_rings(squares(spark, sf_dir), "id")
+    whole = triangles.select("id", planar.ring_area(shapes.closed(F.col("ring"))).alias("area"))
     return rounded(whole.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"), F.sum("area").alias("area")))
 
 

@@ -227,25 +227,25 @@ def infinity_circle(spark, sf_dir):
 
 
 def _part_areas(parts: DataFrame) -> DataFrame:
-    whole = shapes.rings(parts.withColumn("key", F.struct("id", "part")), "key")
-    return rounded(whole.select(F.col("key.id").alias("id"), F.col("key.part").alias("part"), planar.ring_area(F.col("ring")).alias("area")), 9)
+    return rounded(parts.select("id", "part", planar.ring_area(F.col("ring")).alias("area")), 9)
 
 
 @query(f"WITH {_SQUARES} SELECT id, CAST(k AS INT) AS part, round(w * h / 3, 6) AS area FROM s, range(3) t(k)")
 def split_equal_area(spark, sf_dir):
-    return rounded(_part_areas(grouped.split_polygons(squares(spark, sf_dir), "id", "area", 3)))
+    return rounded(_part_areas(grouped.split_rings(squares(spark, sf_dir), "id", "area", 3)))
 
 
 @query(f"WITH {_SQUARES} SELECT id, CAST(k AS INT) AS part, round(w * (least(h, (k + 1) * 4) - k * 4), 6) AS area FROM s, range(30) t(k) WHERE k * 4 < h - 1e-9")
 def split_by_distance(spark, sf_dir):
-    return rounded(_part_areas(grouped.split_polygons(squares(spark, sf_dir), "id", "distance", 4.0, "Y")))
+    return rounded(_part_areas(grouped.split_rings(squares(spark, sf_dir), "id", "distance", 4.0, "Y")))
 
 
 @query(f"WITH {HULL} SELECT grp AS id, CAST(4 AS INT) AS wedges, round(area, 4) AS area, true AS alike FROM hull")
 def split_sector(spark, sf_dir):
     """Each group's hull in four wedges: their number, total area, and whether each is near its share."""
     hulls = shapes.rings(grouped.convex_hulls(xy(spark, sf_dir), "grp"), "grp").withColumnRenamed("grp", "id")
-    pieces = _part_areas(grouped.split_by_sector(hulls, "id", 4))
+    rings = shapes.rings(grouped.split_by_sector(hulls, "id", 4).withColumn("key", F.struct("id", "part")), "key")
+    pieces = _part_areas(rings.select("key.id", "key.part", "ring"))
     sizes = pieces.groupBy("id", F.floor(F.col("part") / 100_000).alias("wedge")).agg(F.sum("area").alias("a"))
     whole = sizes.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("wedges"), F.sum("a").alias("area"), F.min("a").alias("least"), F.max("a").alias("most"))
     return rounded(whole.select("id", "wedges", "area", ((F.col("least") > 0.9 * F.col("area") / 4) & (F.col("most") < 1.1 * F.col("area") / 4)).alias("alike")), 4)
